@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, quality, secrets, token_counts
+from . import byte_bpe, decontamination, jaccard_join, quality, secrets, token_counts
 from .common import read
 
 
@@ -15,6 +15,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return byte_bpe.digests(byte_bpe.encode(docs, tokenizer("byte_bpe_multi_50k.tiktoken"), decoded=True))
@@ -30,9 +34,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contained_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_secrets, op6_quality, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_byte_bpe, op4_secrets, op6_quality, op7_decontamination, op10_token_counts)}
 SQL: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, jaccard_join, quality, secrets, token_counts
+from . import byte_bpe, decontamination, jaccard_join, lm_score, nearest, quality, secrets, token_counts
 from .common import read
 
 
@@ -28,6 +28,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
@@ -38,9 +42,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_score.score(docs, lm_score.fit(docs)).drop("text")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_byte_bpe, op4_secrets, op6_quality, op7_decontamination, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_byte_bpe, op4_secrets, op5_nearest, op6_quality, op7_decontamination, op8_lm_score, op10_token_counts)}
 SQL: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, jaccard_join, lm_score, nearest, quality, secrets, token_counts
+from . import byte_bpe, decontamination, jaccard_join, lm_score, nearest, quality, secrets, suffix_dedup, token_counts
 from .common import read
 
 
@@ -47,9 +47,13 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(docs, lm_score.fit(docs)).drop("text")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.suffix_dedup(read(spark, sf_dir, "documents")))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_byte_bpe, op4_secrets, op5_nearest, op6_quality, op7_decontamination, op8_lm_score, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_byte_bpe, op4_secrets, op5_nearest, op6_quality, op7_decontamination, op8_lm_score, op9_suffix_dedup, op10_token_counts)}
 SQL: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, jaccard_join, lm_score, nearest, quality, secrets, suffix_dedup, token_counts
+from . import byte_bpe, decontamination, id_files, jaccard_join, lm_score, nearest, quality, secrets, suffix_dedup, token_counts
 from .common import read
 
 
@@ -24,6 +24,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.encode(docs, tokenizer("byte_bpe_multi_50k.tiktoken"), decoded=True))
 
 
+def op3_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = id_files.folder(spark)
+    id_files.write(read(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"), end=2)
+    return id_files.digests(id_files.read_back(spark, path))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -55,5 +61,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_byte_bpe, op4_secrets, op5_nearest, op6_quality, op7_decontamination, op8_lm_score, op9_suffix_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_byte_bpe, op3_id_files, op4_secrets, op5_nearest, op6_quality, op7_decontamination, op8_lm_score, op9_suffix_dedup, op10_token_counts)}
 SQL: dict[str, str] = {}

@@ -34,60 +34,71 @@ from . import merges, pieces
 from .common import U64, shared_folder, steps
 
 MAGIC, HEAD = b"KVID", struct.Struct("<4sB3xIII")
-BLOCK, LANES = 4096, 512
+BLOCK, LANES = 4096, 512  # ids of a block, at most 4096; blocks side by side
 SLOT_BITS = 12
 LEVELS = 4  # confidences of a predictor
 LOW, TOP = U64(0xFFFFFFFF), U64(1 << 32)
 
 
 class _Lanes:
-    """The model of blocks that are coded side by side; `ids` holds what is known of them, one row a block."""
+    """The model of blocks that are coded side by side; `ids` holds what is known of them, one row a block.
+
+    A predictor's slot is id * LEVELS + confidence. A place of the order-0 table packs where the id's run starts among
+    the sorted ids (first) and how long it is (times); `spot` has the same by position, with the id.
+    """
 
     def __init__(self, n: int, length: int, alphabet: int):
         self.n, self.alphabet = n, alphabet
-        self.ids = np.zeros((n, length), np.int64)
+        self.ids = np.zeros((length + 2, n), np.int32)  # two rows of zeros stand before the first id
         self.rows = np.arange(n)
-        slots = n << SLOT_BITS
-        self.guess = [np.zeros(slots, np.int32), np.zeros(slots, np.int32)]
-        self.trust = [np.zeros(slots, np.int8), np.zeros(slots, np.int8)]
-        self.mixed = np.tile(np.array([2, 2, 4, 4], np.int64), n * LEVELS * LEVELS).reshape(-1, 4)
-        self.seen = 0  # ids of the order-0 table: the first `seen` of each block, sorted
-        self.sorted = self.first = self.times = None
-        self.place = np.zeros(n * alphabet, np.int16)  # 1 + where an id stands in `sorted`
+        self.base = self.rows << SLOT_BITS
+        self.guess = [np.zeros(n << SLOT_BITS, np.int32), np.zeros(n << SLOT_BITS, np.int32)]
+        self.mixed = np.tile(np.array([2, 2, 4, 4], np.int32), n * LEVELS * LEVELS)
+        self.seen = 0  # ids of the order-0 table: the first `seen` of each block
+        self.spot = None
+        self.place = np.zeros(n * alphabet, np.int32)
 
     def learn(self, step: int) -> None:
-        """Makes the order-0 table of the first `step` ids."""
+        """Makes the order-0 table of the first `step` ids, and keeps the mixture's sums small."""
         n = self.n
         if self.seen:
-            self.place[(self.rows[:, None] * self.alphabet + self.sorted).ravel()] = 0
-        s = np.sort(self.ids[:, :step], axis=1)
+            self.place[(self.rows[:, None] * self.alphabet + (self.spot.reshape(n, -1) >> 26)).ravel()] = 0
+        s = np.sort(self.ids[2 : step + 2].T.astype(np.int64), axis=1)
         at = np.broadcast_to(np.arange(step), (n, step))
         new = np.concatenate([np.ones((n, 1), bool), s[:, 1:] != s[:, :-1]], axis=1)
         first = np.maximum.accumulate(np.where(new, at, 0), axis=1)
         after = np.concatenate([new[:, 1:], np.ones((n, 1), bool)], axis=1)
         last = np.minimum.accumulate(np.where(after, at, step)[:, ::-1], axis=1)[:, ::-1]
-        self.sorted, self.first, self.times, self.seen = s, first.astype(np.int64), (last - first + 1).astype(np.int64), step
-        self.place[(self.rows[:, None] * self.alphabet + s).ravel()] = (first + 1).ravel()
+        packed = (first << 13) | (last - first + 1)
+        self.place[(self.rows[:, None] * self.alphabet + s).ravel()] = packed.ravel()
+        self.spot, self.seen = ((s << 26) | packed).ravel(), step
 
     def ask(self, step: int, m: int):
-        """Slots and guesses of both orders, and the mixture's row, for the first m blocks."""
-        rows, one = self.rows[:m], self.ids[:m, step - 1] + 1 if step else np.zeros(m, np.int64)
-        two = self.ids[:m, step - 2] + 1 if step > 1 else np.zeros(m, np.int64)
+        """Slots and their contents for both orders, the mixture's places, and the ends of its four ranges."""
+        one, two = self.ids[step + 1, :m].astype(np.int64), self.ids[step, :m].astype(np.int64)
         mask = (1 << SLOT_BITS) - 1
-        s1 = (rows << SLOT_BITS) + (((one * 40503) >> 4) & mask)
-        s2 = (rows << SLOT_BITS) + (((one * 40503 + two * 60493) >> 4) & mask)
-        g1, g2, t1, t2 = self.guess[0][s1], self.guess[1][s2], self.trust[0][s1], self.trust[1][s2]
-        return (s1, s2), (g1, g2), (t1, t2), (rows * LEVELS + t2) * LEVELS + t1
-
-    def tell(self, m: int, slots, guesses, trusts, row, ids: np.ndarray, choice: np.ndarray) -> None:
-        for k in (0, 1):
-            hit = guesses[k] == ids
-            t = np.where(hit, np.minimum(trusts[k] + 1, LEVELS - 1), np.maximum(trusts[k] - 1, 0))
-            self.guess[k][slots[k]] = np.where(hit | (trusts[k] > 1), guesses[k], ids)
-            self.trust[k][slots[k]] = t
-        self.mixed[row, choice] += 8
-        if (big := self.mixed[row].sum(axis=1) > 16_000).any():
-            self.mixed[row[big]] = (self.mixed[row[big]] + 1) >> 1
+        x = (one + 1) * 40503
+        s1 = self.base[:m] + ((x >> 4) & mask)
+        s2 = self.base[:m] + (((x + two * 60493) >> 4) & mask)
+        v1, v2 = self.guess[0][s1], self.guess[1][s2]
+        place = ((self.rows[:m] * LEVELS + (v2 & 3)) * LEVELS + (v1 & 3)) * 4
+        e0 = self.mixed[place]
+        e1 = e0 + self.mixed[place + 1]
+        e2 = e1 + self.mixed[place + 2]
+        return (s1, s2), (v1, v2), place, (e0, e1, e2, e2 + self.mixed[place + 3])
+
+    def tell(self, slots, values, place, choice, ids: np.ndarray, hits) -> None:
+        for guess, s, v, hit in zip(self.guess, slots, values, hits, strict=True):
+            t = v & 3
+            guess[s] = np.where(hit, v + (t < LEVELS - 1), np.where(t > 1, v - 1, ids * LEVELS))
+        self.mixed[place + choice] += 8
+
+    def calm(self) -> None:
+        """Halves large sums; they grow by 8 a step at most."""
+        m = self.mixed.reshape(-1, 4)
+        big = m.sum(axis=1) > 16_000
+        if big.any():
+            m[big] = (m[big] + 1) >> 1
 
 
 def _batched(sizes: list[int]) -> np.ndarray:
@@ -99,6 +110,12 @@ def _powers(step: int) -> bool:
     return step >= 16 and step & (step - 1) == 0
 
 
+def _ranges(ends, c0, c1, c2):
+    e0, e1, e2, e3 = ends
+    low = np.where(c0, 0, np.where(c1, e0, np.where(c2, e1, e2)))
+    return low, np.where(c0, e0, np.where(c1, e1, np.where(c2, e2, e3))) - low
+
+
 def compress(blocks: list[np.ndarray], alphabet: int) -> list[bytes]:
     """The payloads of the blocks."""
     order = _batched([len(b) for b in blocks])
@@ -106,42 +123,45 @@ def compress(blocks: list[np.ndarray], alphabet: int) -> list[bytes]:
     if not len(sizes):
         return []
     n, length = len(sizes), int(sizes[0])
-    model = _Lanes(n, max(1, length), alphabet)
-    truth = np.zeros((n, max(1, length)), np.int64)
+    model = _Lanes(n, length, alphabet)
+    truth = np.zeros((length, n), np.int32)
     for row, i in enumerate(order):
-        truth[row, : sizes[row]] = blocks[i]
+        truth[: sizes[row], row] = blocks[i]
     low, span = np.zeros(n, U64), np.full(n, (1 << 48) - 1, U64)
     out, filled = np.zeros((n, 2 * length + 8), np.uint32), np.zeros(n, np.int64)
+    flat, width = out.reshape(-1), out.shape[1]
 
     def put(m: int, low_at: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
         part = span[:m] // total.astype(U64)
         low[:m] += part * low_at.astype(U64)
-        span[:m] = part * size.astype(U64)
-        need = np.flatnonzero(span[:m] < TOP)
+        part *= size.astype(U64)
+        span[:m] = part
+        need = np.flatnonzero(part < TOP)
         if len(need):
-            out[need, filled[need]] = low[need] >> U64(32)
-            filled[need] += 1
-            low[need] = (low[need] & LOW) << U64(16)
-            span[need] <<= U64(16)
+            x, f = low[need], filled[need]
+            flat[need * width + f] = x >> U64(32)
+            filled[need] = f + 1
+            low[need] = (x & LOW) << U64(16)
+            span[need] = part[need] << U64(16)
 
     for step in range(length):
         m = int(np.searchsorted(-sizes, -step, "left"))
         if _powers(step):
             model.learn(step)
-        slots, guesses, trusts, row = model.ask(step, m)
-        ids = truth[:m, step]
-        where = model.place[model.rows[:m] * alphabet + ids].astype(np.int64) if model.seen else np.zeros(m, np.int64)
-        choice = np.where(guesses[1] == ids, 0, np.where(guesses[0] == ids, 1, np.where(where > 0, 2, 3)))
-        mixed = model.mixed[row]
-        ends = np.cumsum(mixed, axis=1)
-        rows = model.rows[:m]
-        put(m, ends[rows, choice] - mixed[rows, choice], mixed[rows, choice], ends[:, 3])
-        at = np.maximum(where - 1, 0)
-        seen, new = choice == 2, choice == 3
-        times = model.times[rows, at] if model.seen else np.ones(m, np.int64)
-        put(m, np.where(seen, at, np.where(new, ids, 0)), np.where(seen, times, 1), np.where(seen, max(1, model.seen), np.where(new, alphabet, 1)))
-        model.ids[:m, step] = ids
-        model.tell(m, slots, guesses, trusts, row, ids, choice)
+        if step % 256 == 255:
+            model.calm()
+        slots, values, place, ends = model.ask(step, m)
+        ids = truth[step, :m]
+        where = model.place[model.rows[:m] * alphabet + ids]
+        h1, h2 = (values[0] >> 2) == ids, (values[1] >> 2) == ids
+        old = where > 0
+        put(m, *_ranges(ends, h2, h1, old), ends[3])
+        hit = h1 | h2
+        seen = old & ~hit
+        new = ~(old | hit)
+        put(m, np.where(seen, where >> 13, np.where(new, ids, 0)), np.where(seen, where & 8191, 1), np.where(seen, max(1, model.seen), np.where(new, alphabet, 1)))
+        model.ids[step + 2, :m] = ids
+        model.tell(slots, values, place, np.where(h2, 0, np.where(h1, 1, np.where(old, 2, 3))), ids, (h1, h2))
     for _ in range(3):  # the rest of `low`
         out[np.arange(n), filled] = low >> U64(32)
         filled += 1
@@ -164,9 +184,9 @@ def expand(payloads: list[bytes]) -> list[np.ndarray]:
         raise ValueError("not a block of token ids")
     alphabets = {h[3] for h in heads}
     if len(alphabets) > 1:
-        by = {a: [i for i, h in enumerate(heads) if h[3] == a] for a in alphabets}
         result: list = [None] * len(payloads)
-        for own in by.values():
+        for a in alphabets:
+            own = [i for i, h in enumerate(heads) if h[3] == a]
             for i, ids in zip(own, expand([payloads[i] for i in own]), strict=True):
                 result[i] = ids
         return result
@@ -175,51 +195,52 @@ def expand(payloads: list[bytes]) -> list[np.ndarray]:
     if not len(sizes):
         return []
     n, length, alphabet = len(sizes), int(sizes[0]), alphabets.pop()
-    model = _Lanes(n, max(1, length), alphabet)
-    longest = max(len(p) for p in payloads) - HEAD.size
-    data = np.zeros((n, longest // 2 + 8), U64)
+    model = _Lanes(n, length, alphabet)
+    width = (max(len(p) for p in payloads) - HEAD.size) // 2 + 8
+    data = np.zeros((n, width), np.uint16)
     for row, i in enumerate(order):
         w = np.frombuffer(payloads[i], "<u2", offset=HEAD.size)
         data[row, : len(w)] = w
-    code = (data[:, 0] << U64(32)) | (data[:, 1] << U64(16)) | data[:, 2]
-    span, taken = np.full(n, (1 << 48) - 1, U64), np.full(n, 3, np.int64)
+    code = (data[:, 0].astype(U64) << U64(32)) | (data[:, 1].astype(U64) << U64(16)) | data[:, 2].astype(U64)
+    flat = data.reshape(-1)
+    span, taken = np.full(n, (1 << 48) - 1, U64), np.arange(n) * width + 3
 
     def take(m: int, low_at: np.ndarray, size: np.ndarray, part: np.ndarray) -> None:
         code[:m] -= part * low_at.astype(U64)
-        span[:m] = part * size.astype(U64)
-        need = np.flatnonzero(span[:m] < TOP)
+        part = part * size.astype(U64)
+        span[:m] = part
+        need = np.flatnonzero(part < TOP)
         if len(need):
-            code[need] = (code[need] << U64(16)) | data[need, taken[need]]
-            taken[need] += 1
-            span[need] <<= U64(16)
+            t = taken[need]
+            code[need] = (code[need] << U64(16)) | flat[t]
+            taken[need] = t + 1
+            span[need] = part[need] << U64(16)
 
     for step in range(length):
         m = int(np.searchsorted(-sizes, -step, "left"))
         if _powers(step):
             model.learn(step)
-        slots, guesses, trusts, row = model.ask(step, m)
-        rows, mixed = model.rows[:m], model.mixed[row]
-        ends = np.cumsum(mixed, axis=1)
-        part = span[:m] // ends[:, 3].astype(U64)
-        at = np.minimum((code[:m] // part).astype(np.int64), ends[:, 3] - 1)
-        choice = (at[:, None] >= ends[:, :3]).sum(axis=1)
-        take(m, ends[rows, choice] - mixed[rows, choice], mixed[rows, choice], part)
-        seen, new = choice == 2, choice == 3
+        if step % 256 == 255:
+            model.calm()
+        slots, values, place, ends = model.ask(step, m)
+        part = span[:m] // ends[3].astype(U64)
+        at = np.minimum((code[:m] // part).astype(np.int64), ends[3] - 1)
+        c0, b1, b2 = at < ends[0], at < ends[1], at < ends[2]
+        take(m, *_ranges(ends, c0, b1, b2), part)
+        seen, new = b2 & ~b1, ~b2
         total = np.where(seen, max(1, model.seen), np.where(new, alphabet, 1))
         part = span[:m] // total.astype(U64)
         at = np.minimum((code[:m] // part).astype(np.int64), total - 1)
-        if model.seen:
-            spot = np.where(seen, at, 0)
-            first, times, old = model.first[rows, spot], model.times[rows, spot], model.sorted[rows, spot]
-        else:
-            first, times, old = np.zeros(m, np.int64), np.ones(m, np.int64), np.zeros(m, np.int64)
-        ids = np.where(choice == 0, guesses[1], np.where(choice == 1, guesses[0], np.where(seen, old, at)))
-        take(m, np.where(seen, first, np.where(new, at, 0)), np.where(seen, times, 1), part)
-        model.ids[:m, step] = ids
-        model.tell(m, slots, guesses, trusts, row, ids, choice)
+        packed = model.spot[model.rows[:m] * model.seen + np.where(seen, at, 0)] if model.seen else np.zeros(m, np.int64)
+        guess = np.where(c0, values[1] >> 2, values[0] >> 2)
+        ids = np.where(b1, guess, np.where(seen, packed >> 26, at)).astype(np.int32)
+        take(m, np.where(seen, (packed >> 13) & 8191, np.where(new, at, 0)), np.where(seen, packed & 8191, 1), part)
+        model.ids[step + 2, :m] = ids
+        model.tell(slots, values, place, np.where(c0, 0, np.where(b1, 1, np.where(seen, 2, 3))), ids, ((values[0] >> 2) == ids, (values[1] >> 2) == ids))
     result = [np.zeros(0, np.int64)] * n
+    whole = np.ascontiguousarray(model.ids[2:].T)
     for row, i in enumerate(order):
-        result[i] = model.ids[row, : sizes[row]]
+        result[i] = whole[row, : sizes[row]]
         if zlib.crc32(result[i].astype("<u4").tobytes()) != heads[i][4]:
             raise ValueError("a block of token ids is damaged")
     return result

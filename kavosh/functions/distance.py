@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from .alphabet import PERSIAN_LETTER, ZWNJ
@@ -61,7 +62,7 @@ def distance(a: str, b: str, cap: float) -> float:
     return table[-1][-1] if table[-1][-1] <= cap else float("inf")
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def weighted_distance(a: pd.Series, b: pd.Series, cap: pd.Series) -> pd.Series:
     """Costs to a tenth, so that sums in another order compare equal."""
     return pd.Series([round(d * 10) / 10 if (d := distance(x, y, c)) != float("inf") else None for x, y, c in zip(a, b, cap, strict=True)], dtype="float64")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from html import escape
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 # Elements that are skipped, that stand alone, and that don't break a word; weights of headings.
@@ -90,7 +92,13 @@ def regions_of(page: str) -> dict:
     return {"title": title, "has_body": p.has_body, "regions": clean}
 
 
-@pandas_udf("struct<title:string,has_body:boolean,regions:array<struct<weight:double,text:string>>>")
+REGIONS = T.StructType([
+    T.StructField("title", T.StringType()), T.StructField("has_body", T.BooleanType()),
+    T.StructField("regions", T.ArrayType(T.StructType([T.StructField("weight", T.DoubleType()), T.StructField("text", T.StringType())]))),
+])
+
+
+@pandas_udf(REGIONS)
 def regions(page: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([regions_of(p or "") for p in page], columns=["title", "has_body", "regions"])
 
@@ -121,10 +129,18 @@ def annotated(page: Column, block: Column) -> Column:
     return F.when(at > 0, F.concat(F.substring(clean, F.lit(1), at - 1), added, F.substring(clean, at, F.length(clean)))).otherwise(F.concat(clean, added))
 
 
-def excerpt(words: Column, hits: Column, size: int = 30) -> Column:
-    """The window of `size` words with most hits (the earliest of equals), its hits in marks. hits: booleans by word."""
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - size + 1))
-    scored = F.transform(starts, lambda s: F.struct(F.size(F.filter(F.slice(hits, s, size), lambda h: h)).alias("n"), (-s).alias("s")))
-    best = -F.array_max(scored)["s"]
-    marked = F.zip_with(F.slice(words, best, size), F.slice(hits, best, size), lambda w, h: F.when(h, F.concat(F.lit("<mark>"), escaped(w), F.lit("</mark>"))).otherwise(escaped(w)))
-    return F.array_join(marked, " ")
+def excerpt_of(words: list[str], hits: list[bool], size: int = 30) -> str:
+    """The window of `size` words with most hits (the earliest of equals), its hits in marks."""
+    total = [0]
+    for h in hits:
+        total.append(total[-1] + bool(h))
+    last = max(0, len(words) - size)
+    best = max(range(last + 1), key=lambda i: (total[min(len(hits), i + size)] - total[i], -i))
+    parts = [(escape(w), h) for w, h in zip(words[best : best + size], hits[best : best + size], strict=True)]
+    return " ".join(f"<mark>{w}</mark>" if h else w for w, h in parts)
+
+
+@pandas_udf(T.StringType())
+def excerpt(words: pd.Series, hits: pd.Series) -> pd.Series:
+    """excerpt_of for arrays of words and of booleans; linear in the words. Null words give null."""
+    return pd.Series([None if w is None else excerpt_of(list(w), list(h)) for w, h in zip(words, hits, strict=True)], dtype=object)

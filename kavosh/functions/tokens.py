@@ -6,6 +6,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from . import alphabet as A
@@ -74,6 +75,6 @@ def tokens_of(text: str, hamza_yeh: bool = True, rejoin: bool = True) -> list[tu
     return [(t, spans[a][0], spans[b - 1][1]) for t, a, b in out]
 
 
-@pandas_udf("array<struct<text:string,start:int,end:int>>")
+@pandas_udf(T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
 def tokens_with_offsets(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else [{"text": w, "start": a, "end": b} for w, a, b in tokens_of(t)])

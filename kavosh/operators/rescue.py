@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,7 +87,7 @@ def front_coded(words: DataFrame) -> DataFrame:
     """piece, key, shared, rest, level: each word as what it shares with the one before it in its piece (9 at most)."""
     order = Window.partitionBy("piece").orderBy("key")
     before = words.withColumn("before", F.coalesce(F.lag("key").over(order), F.lit("")))
-    upto = F.sequence(F.lit(1), F.lit(9))
-    shared = F.size(F.filter(upto, lambda n: (F.length("key") >= n) & (F.substring(F.col("key"), F.lit(1), n) == F.substring(F.col("before"), F.lit(1), n)) & (F.length("before") >= n)))
+    same = [(F.length("key") >= n) & (F.length("before") >= n) & (F.substring("key", 1, n) == F.substring("before", 1, n)) for n in range(1, 10)]
+    shared = reduce(lambda total, x: total + x.cast("int"), same, F.lit(0))
     level = F.least(F.lit(9), F.floor(F.log2("count"))).cast("int")
     return before.withColumn("shared", shared).select("piece", "key", "shared", F.expr("substring(key, shared + 1)").alias("rest"), level.alias("level"))

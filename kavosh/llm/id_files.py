@@ -179,6 +179,14 @@ def compress(blocks: list[np.ndarray], alphabet: int) -> list[bytes]:
 
 def expand(payloads: list[bytes]) -> list[np.ndarray]:
     """The ids of the payloads; an error if one is damaged."""
+    try:
+        with np.errstate(divide="ignore"):
+            return _expanded(payloads)
+    except (IndexError, struct.error) as e:  # a damaged block can ask for words, or guess ids, that don't exist
+        raise ValueError("a block of token ids is damaged") from e
+
+
+def _expanded(payloads: list[bytes]) -> list[np.ndarray]:
     heads = [HEAD.unpack_from(p) for p in payloads]
     if any(h[0] != MAGIC or h[1] != 1 for h in heads):
         raise ValueError("not a block of token ids")
@@ -187,7 +195,7 @@ def expand(payloads: list[bytes]) -> list[np.ndarray]:
         result: list = [None] * len(payloads)
         for a in alphabets:
             own = [i for i, h in enumerate(heads) if h[3] == a]
-            for i, ids in zip(own, expand([payloads[i] for i in own]), strict=True):
+            for i, ids in zip(own, _expanded([payloads[i] for i in own]), strict=True):
                 result[i] = ids
         return result
     order = _batched([h[2] for h in heads])

@@ -1,0 +1,201 @@
+"""The kernels against plain Python: pre-tokens, merges, secrets, suffixes, the range coder, network, sketches."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import regex
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from kavosh.llm import byte_bpe, decontamination, id_files, jaccard_join, lm_score, merges, nearest, pretokens, quality, secrets, suffix_dedup, token_counts
+from kavosh.llm.common import WordHashes, shingles
+
+LETTERS = ["a", "b", "'", "s", "re", "ll", "t", " ", "  ", "\n", "\t", ".", "!", "1", "²", "é", "\x1c", "\x85", "한", "😀", "x" * 30]
+texts = st.lists(st.sampled_from(LETTERS), max_size=30).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(texts, max_size=4))
+def test_pretokens_are_the_pattern(parts):
+    found, counts = pretokens.cut(parts)
+    want = [regex.findall(P.PATTERN, t) for t in parts]
+    assert found == [x for w in want for x in w] and counts.tolist() == [len(w) for w in want]
+
+
+@settings(max_examples=300, deadline=None)
+@given(texts, st.integers(4, 20), st.integers(4, 9))
+def test_chunks_meet_again(text, chunk, overlap):
+    assert pretokens.chunk_bounds(text, chunk, overlap).tolist() == [m.start() for m in regex.finditer(P.PATTERN, text)]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(texts, min_size=1, max_size=4))
+def test_byte_bpe_is_the_library(parts):
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in enumerate(merges.token_bytes(path))}, special_tokens={})
+    ids, counts = byte_bpe.encode_texts(parts, path, chunk=16, overlap=5)
+    want = [library.encode_ordinary(t) for t in parts]
+    assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
+    assert byte_bpe.decode_ids(ids, counts, path) == [t.encode() for t in parts]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*LETTERS, "<|endoftext|>"]), max_size=20).map("".join), min_size=1, max_size=4))
+def test_counts_are_the_library(parts):
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    assert token_counts.count_texts(parts, path).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in parts]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from([*LETTERS, "É", "Σ", "ΑΣ", "İ", "S", "<|endoftext|>"]), max_size=20).map("".join))
+def test_word_ids_are_the_library(text):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    ids, counts = id_files.encode_texts([text], path, 2)
+    assert ids.tolist() == [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 2] and counts.tolist() == [len(ids)]
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 40), max_size=90), max_size=6), st.integers(41, 60000))
+def test_range_coder_round_trip(blocks, alphabet):
+    arrays = [np.array(b, np.int64) for b in blocks]
+    back = id_files.expand(id_files.compress(arrays, alphabet))
+    assert [b.tolist() for b in back] == blocks
+
+
+def test_range_coder_finds_damage():
+    [block] = id_files.compress([np.arange(500) % 77], 100)
+    assert len(block) < 600
+    for at in (12, id_files.HEAD.size + 9):
+        with pytest.raises(ValueError):
+            id_files.expand([block[:at] + bytes([block[at] ^ 5]) + block[at + 1 :]])
+
+
+def brute_secrets(t):
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    out = [("assign", m.start(), m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
+    out += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    out += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return sorted(out, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["token", "Secret", "PASSWORD", "api_key", "passwd", "=", ":", " ", '"', "'", "abc", "0123456789abcdef", "AKIA", "ABCDEFGH12345678", "İ", "ſ", "ff"]), max_size=14).map("".join))
+def test_base_secrets(text):
+    assert [s for s in secrets.find(text) if s[0] in secrets.BASE] == brute_secrets(text)
+
+
+def test_checksums_decide():
+    body = "".join(random.Random(1).choices(secrets.BASE62, k=30))
+    good = "ghp_" + body + secrets.checksum(body)
+    assert ("github", 2, 42) in secrets.find("x " + good + " y")
+    wrong = good[:-1] + ("0" if good[-1] != "0" else "1")
+    assert not [s for s in secrets.find("x " + wrong) if s[0] == "github"]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from([b"a", b"b", b"abcdefgh" * 13, b"zq" * 60, b"0123456789" * 11]), min_size=1, max_size=12).map(b"".join))
+def test_suffixes_of_a_residue_are_in_order(raw):
+    data = np.frombuffer(raw + bytes(400), np.uint8)
+    at = np.arange(0, len(raw), suffix_dedup.COVER)
+    order, same = suffix_dedup.suffix_order(data, at)
+    keys = [bytes(data[i : i + 100]) for i in at[order]]
+    assert keys == sorted(keys) and same.tolist() == [i > 0 and keys[i] == keys[i - 1] for i in range(len(keys))]
+
+
+def test_difference_cover_covers():
+    for v in (8, 32, 64):
+        cover = suffix_dedup.difference_cover(v)
+        assert {(a - b) % v for a in cover for b in cover} == set(range(v)) and len(cover) <= v / 2
+
+
+def test_forest_depth_meets_the_recall():
+    d = jaccard_join.depth()
+    assert 1 - (1 - 0.8**d) ** jaccard_join.TREES >= jaccard_join.RECALL and d < jaccard_join.MAX_DEPTH
+
+
+def test_similar_sets():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, 40)).astype(np.uint64) for _ in range(30)]
+    want = np.array([[i != j and len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.4 for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    assert (jaccard_join.similar(sets, None, 0.4) == want).all()
+    assert (jaccard_join.similar(sets[:10], sets[10:], 0.4) == want[:10, 10:]).all()
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
+def test_containment_loses_nothing(threshold):
+    rng = random.Random(3)
+    hashes = WordHashes(strip=True)
+    item_texts = [" ".join(rng.choices("abcdefgh", k=rng.randint(1, 40))) for _ in range(40)]
+    items = []
+    for i, t in enumerate(item_texts):
+        w, at = hashes.of([t])
+        width = min(5, len(w))
+        items.append((i, width, np.unique(shingles(w, at, width)[0])))
+    docs = [" ".join([*rng.choices("abcdefgh", k=rng.randint(0, 90)), rng.choice(item_texts)]) for _ in range(60)] + ["", "a"]
+    found = {(t, i) for t, i, _ in decontamination.Sketches(items, threshold).find(*hashes.of(docs))}
+    want = set()
+    for t, d in enumerate(docs):
+        w, at = hashes.of([d])
+        for i, width, s in items:
+            own = set(shingles(w, at, width)[0].tolist()) if len(w) >= width else set()
+            if len(own & set(s.tolist())) >= threshold * len(s) - 1e-9:
+                want.add((t, i))
+    assert found == want
+
+
+def test_index_finds_all_within_the_radius():
+    rng = np.random.default_rng(4)
+    codes = rng.integers(0, 1 << 16, (400, 16)).astype(np.uint16)
+    codes[200:] = codes[:200] ^ (rng.random((200, 16)) < 0.3).astype(np.uint16)
+    index = nearest.Index(codes)
+    far = nearest.hamming(codes, codes)
+    for i in range(0, 400, 37):
+        for radius in (0, 5, 40, 120):
+            assert index.within(codes[i], radius).tolist() == np.flatnonzero(far[i] <= radius).tolist()
+
+
+def test_quality_learns_and_scores():
+    good, bad = ["the cat sat on a mat today", "plain words in a row here"], ["x$$$ y%%% z***", "BUY!! NOW!! CHEAP!!"]
+    rows = []
+    for label, group in ((1, good), (0, bad)):
+        for t in group * 20:
+            place, n = quality.features([t])
+            p, c = np.unique(place, return_counts=True)
+            rows.append((p, c / np.sqrt(n[0]), label))
+    w = quality.train(rows)
+    s = quality.score_texts([*good, *bad, ""], w)
+    assert (s[:2] > 0.5).all() and (s[2:4] < 0.5).all() and 0 <= s[4] <= 1
+    assert (quality.score_texts(["a"], np.zeros_like(w)) == 0.5).all()
+
+
+def test_network_prefers_what_it_saw():
+    texts = ["a b c a b c a b c"] * 50
+    b, n = lm_score.buckets(texts)
+    counts = np.bincount(b, minlength=1 << lm_score.BUCKET_BITS).astype(float)
+    classes, word = lm_score.classes_of(counts)
+    seen = np.bincount(lm_score.windows(classes[b].astype(np.int64), n), minlength=lm_score.CLASSES**3).astype(float)
+    table = lm_score.train(seen)
+    assert np.allclose(np.exp(table.reshape(-1, lm_score.CLASSES)).sum(axis=1), 1, atol=1e-3)
+    model = lm_score.Model(classes, word, table)
+    usual, odd = (model.each([t])[0].mean() for t in ("a b c a b c", "c c c a a b"))
+    assert usual > odd + 1
+    # One pass over all texts is the sum of single ones.
+    whole, sizes = model.each(["a b", "", "c"])
+    assert sizes.tolist() == [2, 0, 1] and np.allclose(whole, np.concatenate([model.each([t])[0] for t in ("a b", "", "c")]))
+
+
+def test_crc_of_ids_is_over_four_bytes_each():
+    ids = np.array([1, 2, 49407])
+    [block] = id_files.compress([ids], 49408)
+    assert id_files.HEAD.unpack_from(block)[4] == zlib.crc32(ids.astype("<u4").tobytes())

@@ -62,4 +62,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_byte_bpe, op3_id_files, op4_secrets, op5_nearest, op6_quality, op7_decontamination, op8_lm_score, op9_suffix_dedup, op10_token_counts)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_jaccard_join": r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '\S+') AS w FROM documents),
+s AS (SELECT doc_id, array_to_string(w, ' ') AS words, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS sh FROM t WHERE len(w) > 0),
+e AS (SELECT doc_id, words, len(sh) AS n, unnest(sh) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.words) AS wa, any_value(b.words) AS wb FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id HAVING count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-6),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+k AS (SELECT a AS doc_id, min(b) AS class_id FROM r GROUP BY a),
+c AS (SELECT a AS doc_id, count(*) AS n_links, count(DISTINCT wb) FILTER (wa <> wb) AS n_texts FROM p GROUP BY a)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(n_texts, 0) AS n_texts FROM k LEFT JOIN c USING (doc_id)""",
+    "op7_decontamination": r"""
+WITH every AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+t AS (SELECT kind, id, list_filter(list_transform(regexp_extract_all(lower(coalesce(text, '')), '\S+'), lambda x: regexp_replace(x, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), lambda x: x <> '') AS w FROM every),
+i AS (SELECT id AS item_id, least(5, len(w)) AS k, list_distinct(list_transform(range(1, len(w) - least(5, len(w)) + 2), lambda i: array_to_string(w[i:i + least(5, len(w)) - 1], ' '))) AS sh FROM t WHERE kind = 1 AND len(w) > 0),
+q AS (SELECT item_id, k, len(sh) AS n_item, unnest(sh) AS x FROM i),
+d AS (SELECT DISTINCT id AS doc_id, k, unnest(list_transform(range(1, greatest(len(w) - k + 2, 1)), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS x FROM t, (SELECT DISTINCT k FROM i) WHERE kind = 0)
+SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_item) AS n_item, count(*) / any_value(n_item)::DOUBLE AS containment FROM q JOIN d USING (k, x) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n_item) - 1e-9""",
+}

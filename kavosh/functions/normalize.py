@@ -50,6 +50,26 @@ def standard_typing(text: Column) -> Column:
     return F.translate(text, source + "".join(map(chr, [*range(0x064B, 0x0653), 0x0640])), "".join(A.FOLDS.values()))
 
 
+def site_key(word: Column) -> Column:
+    """A key of words as a site spells them: lower case, letters and digits folded, no half-spaces, no marks."""
+    digits = "".join(A.DIGITS)
+    return F.translate(F.lower(word), "يىكآ" + digits + A.ZWNJ + "".join(map(chr, range(0x064B, 0x0653))), "ییکا" + "".join(A.DIGITS.values()))
+
+
+def gold_key(word: Column) -> Column:
+    """A treebank's spelling without its noise: standard typing, hamza forms folded, no half-space at the edges."""
+    return F.regexp_replace(F.translate(standard_typing(word), "ۀأإؤئ", "هااوی"), f"^{A.ZWNJ}+|{A.ZWNJ}+$", "")
+
+
+#: Each fold alone, for finding which words it would bring together.
+SINGLE_FOLDS = {
+    "yeh": lambda t: F.translate(t, "يى", "یی"), "kaf": lambda t: F.translate(t, "كڪ", "کک"), "teh-marbuta": lambda t: F.translate(t, "ة", "ه"), "heh": lambda t: F.translate(t, "ۀہۂ", "ههه"),
+    "alef-hamza": lambda t: F.translate(t, "أإٱ", "ااا"), "waw-hamza": lambda t: F.translate(t, "ؤ", "و"), "yeh-hamza": lambda t: F.translate(t, "ئ", "ی"), "alef-madda": lambda t: F.translate(t, "آ", "ا"),
+    "marks": lambda t: F.regexp_replace(t, "[ً-ٰٟ]", ""), "tatweel": lambda t: F.translate(t, "ـ", ""), "digits": lambda t: F.translate(t, "".join(A.DIGITS), "".join(A.DIGITS.values())),
+    "case": lambda t: F.lower(t), "half-space": lambda t: F.translate(t, A.ZWNJ, ""),
+}
+
+
 def squash(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +28,6 @@ def shared_folder(spark: SparkSession) -> str:
     return found or f"/tmp/checkpoints/{os.getpid()}"
 
 
-def with_checkpoints(spark: SparkSession) -> None:
-    """Makes DataFrame.checkpoint() usable; a directory that is set already stays."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, read back: cuts the lineage and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -55,10 +49,6 @@ def steps(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = ST
             yield batch.slice(begin), texts[begin:]
 
 
-def map_arrow(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(kernel, schema)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values (xor-shift and multiply)."""
     x = x.astype(U64, copy=True)

@@ -10,9 +10,9 @@
    order that share LENGTH bytes are equal windows; the one that starts first stays, the others are removed.
 3. The removed windows of a document are united, and the rest of it is kept.
 
-Memory is bounded by a bucket, and buckets grow in number with the corpus, not in size. Within a task, contexts that
-are equal in full are settled before anything is sent (all but the first are removed), and anchors known to repeat go to
-any bucket, so a passage that stands in a third of all documents adds a few rows a task to its bucket.
+Memory is bounded by a bucket, and buckets grow in number with the corpus, not in size. Contexts that are equal in full
+are settled before they are sent and again before a bucket is sorted (all but the first are removed), and anchors known
+to repeat go to any bucket, so a passage that stands in a third of all documents adds a few rows a task to its bucket.
 
 Null and empty texts have 0 bytes; texts shorter than LENGTH keep all of theirs. doc_id should be unique: rows that
 share one are judged as one document at the same place, and each loses what was found for the id. Rows without a
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, mix, written
+from .pieces import ragged
 
 LENGTH, KGRAM, COVER = 100, 32, 32
 WINDOW = LENGTH - KGRAM + 1
@@ -104,8 +105,6 @@ def _texts(batches, limit: int = STEP_BYTES):
 
 def _dealt(bucket: np.ndarray, columns: list[np.ndarray], names: list[str], text: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
     """One row for each bucket, with its part of each column as bytes. text: flat bytes, starts and lengths."""
-    from .pieces import ragged
-
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0])) if len(order) else np.zeros(0, int)
     edges = np.append(cuts, len(order)).tolist()
@@ -259,6 +258,31 @@ def repeated_windows(doc: np.ndarray, at: np.ndarray, before: np.ndarray, n: np.
     return doc[of[first]], origin + offset[first], origin + offset[last] + LENGTH
 
 
+def settled(raw: bytes, start: np.ndarray, size: np.ndarray, before: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which contexts are equal in full, anchor and all, to one that stands earlier: all their windows are removed."""
+    import xxhash
+
+    whole = np.array([xxhash.xxh3_64_intdigest(raw[a : a + s]) for a, s in zip(start.tolist(), size.tolist(), strict=True)], U64)
+    order = np.lexsort((at, doc, before, size, whole))
+    same = np.zeros(len(order), bool)
+    same[1:] = True
+    for x in (whole, size, before):
+        y = x[order]
+        same[1:] &= y[1:] == y[:-1]
+    done, first = np.zeros(len(order), bool), -1
+    order_, flags = order.tolist(), same.tolist()
+    for i, k in enumerate(order_):
+        if not flags[i]:
+            first = k
+            continue
+        a, b, s = int(start[first]), int(start[k]), int(size[k])
+        if raw[a : a + s] != raw[b : b + s]:  # the hash is not trusted to remove text
+            first = k
+        elif (doc[first], at[first]) != (doc[k], at[k]):
+            done[k] = True
+    return done
+
+
 def _removed(docs: DataFrame, repeating: DataFrame, buckets: int, parts: int) -> DataFrame:
     """doc_id, a, b: the removed runs, which may overlap."""
     names, kinds = ["doc", "at", "before", "n", "done"], [np.int64, np.int64, np.int64, np.int64, np.uint8]
@@ -275,32 +299,27 @@ def _removed(docs: DataFrame, repeating: DataFrame, buckets: int, parts: int) ->
             h, at, low, high, text, starts = (x[keep] for x in (h, at, low, high, text, starts))
             doc = np.asarray(batch.column(0)).astype(np.int64)[text]
             size = high - low + LENGTH
-            # Contexts that are equal in full: the first of them stands for all, the others are settled.
-            import xxhash
-
-            raw = data.tobytes()
-            whole = np.array([xxhash.xxh3_64_intdigest(raw[a : a + s]) for a, s in zip(low.tolist(), size.tolist(), strict=True)], U64)
-            order = np.lexsort((at - starts, doc, at - low, size, whole, h))
-            same = np.zeros(len(order), bool)
-            done = np.zeros(len(order), np.uint8)
-            for x in (h, whole, size, at - low):
-                y = x[order]
-                same[1:] = (y[1:] == y[:-1]) & (same[1:] if x is not h else True)
-            pairs = np.flatnonzero(same)
-            for i in pairs.tolist():  # the hash is not trusted to remove text
-                a, b, s = int(low[order[i - 1]]), int(low[order[i]]), int(size[order[i]])
-                if raw[a : a + s] == raw[b : b + s] and (doc[order[i - 1]], at[order[i - 1]] - starts[order[i - 1]]) != (doc[order[i]], at[order[i]] - starts[order[i]]):
-                    done[order[i]] = 1
+            done = settled(data.tobytes(), low, size, at - low, doc, at - starts).astype(np.uint8)
             bucket = np.where(done == 1, mix(h + at.astype(U64)), h) % U64(buckets)
             kept = np.where(done == 1, 0, size)
             yield _dealt(bucket.astype(np.int64), [doc, at - starts, at - low, high - low + 1, done], names, (data, low, kept))
 
     def settle(batches):
         for doc, at, before, n, done, text in _by_bucket(batches, [*names, "text"], [*kinds, np.uint8]):
+            size = np.where(done == 1, 0, n + LENGTH - 1)
+            start = np.cumsum(size) - size
             d = done == 1
+            open_ = np.flatnonzero(~d)
+            d[open_] = settled(text.tobytes(), start[open_], size[open_], before[open_], doc[open_], at[open_])
             out = [(doc[d], (at - before)[d], (at - before + n - 1 + LENGTH)[d])]
-            if not d.all():
-                out.append(repeated_windows(doc[~d], at[~d], before[~d], n[~d], text))
+            # A context whose anchor is now the only one of its first bytes has nothing to be equal to.
+            left = np.flatnonzero(~d)
+            if len(left):
+                key = words(text)[start[left] + before[left]]
+                _, of, times = np.unique(key, return_inverse=True, return_counts=True)
+                left = left[times[of] > 1]
+            if len(left):
+                out.append(repeated_windows(doc[left], at[left], before[left], n[left], ragged(text, start[left], size[left])))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["doc_id", "a", "b"])
 
     places = repeating.groupBy("doc_id").agg(F.collect_list("at").alias("places"))

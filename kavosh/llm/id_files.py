@@ -36,6 +36,8 @@ from .common import U64, shared_folder, steps
 MAGIC, HEAD = b"KVID", struct.Struct("<4sB3xIII")
 BLOCK, LANES = 4096, 512  # ids of a block, at most 4096; blocks side by side
 SLOT_BITS = 12
+#: Words whose ids a worker keeps.
+WORDS = 1_000_000
 LEVELS = 4  # confidences of a predictor
 LOW, TOP = U64(0xFFFFFFFF), U64(1 << 32)
 
@@ -47,7 +49,8 @@ class _Lanes:
     the sorted ids (first) and how long it is (times); `spot` has the same by position, with the id.
     """
 
-    def __init__(self, n: int, length: int, alphabet: int):
+    def __init__(self, n: int, length: int, alphabet: int, by_id: bool):
+        """by_id: whether the order-0 table is asked by id, which a decoder never does."""
         self.n, self.alphabet = n, alphabet
         self.ids = np.zeros((length + 2, n), np.int32)  # two rows of zeros stand before the first id
         self.rows = np.arange(n)
@@ -56,12 +59,12 @@ class _Lanes:
         self.mixed = np.tile(np.array([2, 2, 4, 4], np.int32), n * LEVELS * LEVELS)
         self.seen = 0  # ids of the order-0 table: the first `seen` of each block
         self.spot = None
-        self.place = np.zeros(n * alphabet, np.int32)
+        self.place = np.zeros(n * alphabet, np.int32) if by_id else None
 
     def learn(self, step: int) -> None:
         """Makes the order-0 table of the first `step` ids, and keeps the mixture's sums small."""
         n = self.n
-        if self.seen:
+        if self.seen and self.place is not None:
             self.place[(self.rows[:, None] * self.alphabet + (self.spot.reshape(n, -1) >> 26)).ravel()] = 0
         s = np.sort(self.ids[2 : step + 2].T.astype(np.int64), axis=1)
         at = np.broadcast_to(np.arange(step), (n, step))
@@ -70,7 +73,8 @@ class _Lanes:
         after = np.concatenate([new[:, 1:], np.ones((n, 1), bool)], axis=1)
         last = np.minimum.accumulate(np.where(after, at, step)[:, ::-1], axis=1)[:, ::-1]
         packed = (first << 13) | (last - first + 1)
-        self.place[(self.rows[:, None] * self.alphabet + s).ravel()] = packed.ravel()
+        if self.place is not None:
+            self.place[(self.rows[:, None] * self.alphabet + s).ravel()] = packed.ravel()
         self.spot, self.seen = ((s << 26) | packed).ravel(), step
 
     def ask(self, step: int, m: int):
@@ -123,7 +127,7 @@ def compress(blocks: list[np.ndarray], alphabet: int) -> list[bytes]:
     if not len(sizes):
         return []
     n, length = len(sizes), int(sizes[0])
-    model = _Lanes(n, length, alphabet)
+    model = _Lanes(n, length, alphabet, True)
     truth = np.zeros((length, n), np.int32)
     for row, i in enumerate(order):
         truth[: sizes[row], row] = blocks[i]
@@ -203,7 +207,7 @@ def _expanded(payloads: list[bytes]) -> list[np.ndarray]:
     if not len(sizes):
         return []
     n, length, alphabet = len(sizes), int(sizes[0]), alphabets.pop()
-    model = _Lanes(n, length, alphabet)
+    model = _Lanes(n, length, alphabet, False)
     width = (max(len(p) for p in payloads) - HEAD.size) // 2 + 8
     data = np.zeros((n, width), np.uint16)
     for row, i in enumerate(order):
@@ -264,7 +268,7 @@ class _Words:
 
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
-        self.base = merges.from_json(path)
+        self.base = pieces.PieceIds(merges.from_json(path))
         self.special = {t["content"]: t["id"] for t in file.get("added_tokens", []) if t.get("special")}
         self.size = max([*file["model"]["vocab"].values(), *self.special.values()]) + 1
         # Fixed value: the pattern of the vocabulary's pre-tokeniser.
@@ -292,17 +296,18 @@ class _Words:
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         cut = [self._cut(w.decode("utf-8", "surrogatepass")) for w in words]
         flat = [p for c in cut for p in c]
-        ids, count = self.base.encode([p.encode("utf-8", "surrogatepass") if isinstance(p, str) else b"" for p in flat])
+        ids, count = self.base.ids([p if isinstance(p, str) else "" for p in flat])
         fixed = np.array([i for i, p in enumerate(flat) if not isinstance(p, str)], np.int64)
         if len(fixed):
             ids = np.insert(ids, (np.cumsum(count) - count)[fixed], [flat[i] for i in fixed])
+            count = count.copy()
             count[fixed] = 1
         return ids, pieces.sums(count, np.array([len(c) for c in cut], np.int64))
 
 
 @cache
 def _of_words(path: str) -> pieces.PieceIds:
-    return pieces.PieceIds(_Words(path))
+    return pieces.PieceIds(_Words(path), WORDS)
 
 
 def encode_texts(texts: list[str], path: str, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -359,8 +364,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2, block: int =
     dealt.mapInArrow(kernel, _ROWS).write.parquet(path)
 
 
-def read_back(spark, path: str, lanes: int = LANES) -> DataFrame:
-    """doc_id, start, ids array<int> of all documents of the files at `path`."""
+def read_back(spark, path: str, lanes: int = LANES, packed: bool = False) -> DataFrame:
+    """doc_id, start, ids of all documents of the files at `path`: array<int>, or bytes of four a little-endian id."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = spark.read.schema(_ROWS).parquet(path)
 
@@ -376,12 +381,12 @@ def read_back(spark, path: str, lanes: int = LANES) -> DataFrame:
                 begin = 0
                 for doc_id, e in zip(doc_ids, ends, strict=True):
                     whole = np.concatenate([*carried, ids[begin:e]])
-                    for k, v in zip(out, (part, doc_id, at, whole.astype(np.int32)), strict=True):
+                    for k, v in zip(out, (part, doc_id, at, whole.astype("<u4").tobytes() if packed else whole.astype(np.int32)), strict=True):
                         out[k].append(v)
                     at, carried, begin = at + len(whole), [], e
                 carried.append(ids[begin:])
             held = []
-            return pa.RecordBatch.from_arrays([pa.array(out["part"], pa.int32()), pa.array(out["doc_id"], pa.int64()), pa.array(out["offset"], pa.int64()), pa.array(out["ids"], pa.list_(pa.int32()))], list(out))
+            return pa.RecordBatch.from_arrays([pa.array(out["part"], pa.int32()), pa.array(out["doc_id"], pa.int64()), pa.array(out["offset"], pa.int64()), pa.array(out["ids"], pa.binary() if packed else pa.list_(pa.int32()))], list(out))
 
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in (0, 3, 4, 2)]
@@ -393,7 +398,7 @@ def read_back(spark, path: str, lanes: int = LANES) -> DataFrame:
             yield open_()
 
     ordered = blocks.repartition(parts, "part").sortWithinPartitions("part", "block")
-    docs = ordered.mapInArrow(kernel, "part int, doc_id long, offset long, ids array<int>")
+    docs = ordered.mapInArrow(kernel, f"part int, doc_id long, offset long, ids {'binary' if packed else 'array<int>'}")
     # Ids of each part, from its headers' counts; parts are as many as tasks, so the sum over them is small.
     from pyspark.sql import Window
 
@@ -404,17 +409,8 @@ def read_back(spark, path: str, lanes: int = LANES) -> DataFrame:
 
 
 def digests(rows: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of the documents read back."""
-
-    def kernel(batches):
-        for batch in batches:
-            lists = batch.column(2)
-            flat, offsets = lists.values.to_numpy().astype("<u4"), lists.offsets.to_numpy()
-            raw = flat.tobytes()
-            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(offsets, offsets[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return rows.mapInArrow(kernel, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    """doc_id, start, n_tokens, ids_crc32 of documents read back packed."""
+    return rows.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
 def folder(spark) -> str:

@@ -27,7 +27,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = id_files.folder(spark)
     id_files.write(read(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"), end=2)
-    return id_files.digests(id_files.read_back(spark, path))
+    return id_files.digests(id_files.read_back(spark, path, packed=True))
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

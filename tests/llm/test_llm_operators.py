@@ -119,11 +119,13 @@ def test_id_files(spark, docs, rows, tmp_path):
 
     path = queries.tokenizer("word_bpe_49k.json")
     id_files.write(docs, str(tmp_path / "ids"), path, block=64, lanes=8)
-    got = {r.doc_id: r for r in id_files.digests(id_files.read_back(spark, str(tmp_path / "ids"), lanes=5)).collect()}
+    got = {r.doc_id: r for r in id_files.digests(id_files.read_back(spark, str(tmp_path / "ids"), lanes=5, packed=True)).collect()}
+    lists = {r.doc_id: r.ids for r in id_files.read_back(spark, str(tmp_path / "ids")).collect()}
     start, library = 0, Tokenizer.from_file(path)
     for i, t, *_ in rows:
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
         r = got[i]
+        assert lists[i] == ids
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
 

@@ -36,8 +36,8 @@ from .common import U64, shared_folder, steps
 MAGIC, HEAD = b"KVID", struct.Struct("<4sB3xIII")
 BLOCK, LANES = 4096, 512  # ids of a block, at most 4096; blocks side by side
 SLOT_BITS = 12
-#: Words whose ids a worker keeps.
-WORDS = 1_000_000
+#: Words, and pieces of words, whose ids a worker keeps.
+WORDS = 200_000
 LEVELS = 4  # confidences of a predictor
 LOW, TOP = U64(0xFFFFFFFF), U64(1 << 32)
 
@@ -268,7 +268,7 @@ class _Words:
 
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
-        self.base = pieces.PieceIds(merges.from_json(path))
+        self.base = pieces.PieceIds(merges.from_json(path), WORDS)
         self.special = {t["content"]: t["id"] for t in file.get("added_tokens", []) if t.get("special")}
         self.size = max([*file["model"]["vocab"].values(), *self.special.values()]) + 1
         # Fixed value: the pattern of the vocabulary's pre-tokeniser.

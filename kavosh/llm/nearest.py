@@ -6,7 +6,9 @@ signs); CODE bits altogether, from as many rotations as it takes. A code is spli
 is indexed: its distinct values, and the rows of each value. By the pigeonhole principle a code within Hamming radius r
 of the query's agrees with it in some substring up to floor(r / substrings) bits, so probing all values within that
 distance in each index retrieves every code within r; those are reranked by exact inner products in double precision.
-The radius is the one that held REACH of the true neighbours in the sample.
+The first radius is the one that held REACH of the true neighbours in the sample. Queries that it leaves with fewer than
+k + 1 rows, or with a row at the radius itself, are searched again with the radius CODE, which every row lies within, so
+exactly: each query ends with k rows, or with all candidates if there are fewer.
 
 The rotations and the radius are fitted on at most SAMPLE rows (smallest hashes of vec_id); all rows are indexed.
 Equal vectors are searched once and stand for all their rows: only the k + 1 smallest ids of each are kept in the
@@ -95,8 +97,12 @@ class Index:
             probes = np.bitwise_count(values ^ code[s]) <= near
             found |= probes[which]
         rows = np.flatnonzero(found)
+        return rows[self.far(code, rows) <= radius]
+
+    def far(self, code: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The bits in which the codes of the rows differ from the code."""
         word = np.ascontiguousarray(code).view(np.uint64)
-        return rows[np.bitwise_count(self.words[rows] ^ word).sum(axis=1) <= radius]
+        return np.bitwise_count(self.words[rows] ^ word).sum(axis=1, dtype=np.int64)
 
 
 def _usable(v: Column) -> Column:
@@ -128,37 +134,50 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, block_rows: int = BL
     classes = written(classes.join(asked, ["k1", "k2"], "left").withColumn("asked", F.coalesce("asked", F.lit(False))), "vectors")
     n, n_asked = classes.agg(F.count(F.lit(1)), F.sum(F.col("asked").cast("long"))).collect()[0]
     sample = np.array([r[0] for r in classes.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).select("v").limit(SAMPLE).collect()], np.float64)
-    coder = spark.sparkContext.broadcast(Coder(sample, longest, k))
-
-    blocks, query_blocks = max(1, -(-n // block_rows)), max(1, -(-(n_asked or 0) // block_queries))
-    spread = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
-    hashed = F.xxhash64("k1", "k2")
-    index = classes.select("k1", "k2", "ids", "v", F.pmod(hashed, F.lit(blocks)).alias("ib"), spread(query_blocks).alias("qb"))
-    queries = classes.where("asked").select("k1", "k2", "v", F.pmod(hashed, F.lit(query_blocks)).alias("qb"), spread(blocks).alias("ib"))
+    fitted = Coder(sample, longest, k)
+    coder = spark.sparkContext.broadcast(fitted)
 
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+    def search(left: pa.Table, right: pa.Table, radius: int) -> pa.Table:
         matrix = lambda t: t["v"].combine_chunks().flatten().to_numpy().reshape(-1, d)
-        out = {"k1": [], "k2": [], "vec_id": [], "score": []}
+        out = {"k1": [], "k2": [], "vec_id": [], "score": [], "far": []}
         if left.num_rows and right.num_rows:
             q, x, ids = matrix(left), matrix(right), right["ids"].to_pylist()
             least = np.array([i[0] for i in ids])
             found = Index(coder.value.codes(x))
             keys = list(zip(left["k1"].to_pylist(), left["k2"].to_pylist(), strict=True))
             for (k1, k2), v, code in zip(keys, q, coder.value.codes(q, True), strict=True):
-                at = found.within(code, coder.value.radius)
+                at = found.within(code, radius)
                 scores = (x[at] * v).sum(axis=1)
                 if len(at) > 4 * k:  # all that tie with the last one stay
                     keep = scores >= np.partition(scores, -(k + 1))[-(k + 1)]
                     at, scores = at[keep], scores[keep]
                 order = np.lexsort((least[at], -scores))[: k + 1]
-                best = sorted((-s, i) for s, a in zip(scores[order].tolist(), at[order].tolist(), strict=True) for i in ids[a])[: k + 1]
-                for s, i in best:
-                    for name, value in zip(out, (k1, k2, i, -s), strict=True):
+                far = found.far(code, at[order])
+                best = sorted((-s, i, f) for s, a, f in zip(scores[order].tolist(), at[order].tolist(), far.tolist(), strict=True) for i in ids[a])[: k + 1]
+                for s, i, f in best:
+                    for name, value in zip(out, (k1, k2, i, -s, f), strict=True):
                         out[name].append(value)
         return pa.table({name: pa.array(values, pa.float64() if name == "score" else pa.int64()) for name, values in out.items()})
 
-    parts = queries.groupBy("qb", "ib").cogroup(index.groupBy("qb", "ib")).applyInArrow(search, "k1 long, k2 long, vec_id long, score double")
-    best = parts.withColumn("n", F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1)
+    spread = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+    hashed = F.xxhash64("k1", "k2")
+    order = Window.partitionBy("k1", "k2").orderBy(F.desc("score"), "vec_id")
+
+    def hits(wanted: DataFrame, n_wanted: int, radius: int) -> DataFrame:
+        """k1, k2, vec_id, score, far: the k + 1 best rows within the radius of each vector wanted."""
+        blocks, query_blocks = max(1, -(-n // block_rows)), max(1, -(-n_wanted // block_queries))
+        index = classes.select("k1", "k2", "ids", "v", F.pmod(hashed, F.lit(blocks)).alias("ib"), spread(query_blocks).alias("qb"))
+        queries = wanted.select("k1", "k2", "v", F.pmod(hashed, F.lit(query_blocks)).alias("qb"), spread(blocks).alias("ib"))
+        parts = queries.groupBy("qb", "ib").cogroup(index.groupBy("qb", "ib")).applyInArrow(lambda a, b: search(a, b, radius), "k1 long, k2 long, vec_id long, score double, far long")
+        return written(parts.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n"), "hits")
+
+    wanted = classes.where("asked")
+    best = hits(wanted, n_asked or 0, fitted.radius)
+    done = best.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).where((F.col("n") > k) & (F.col("far") < fitted.radius)).select("k1", "k2")
+    short = written(wanted.join(done, ["k1", "k2"], "left_anti"), "short")
+    n_short = short.count()
+    if n_short:
+        best = best.join(done, ["k1", "k2"], "left_semi").unionByName(hits(short, n_short, CODE))
     lists = best.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id"))).alias("found"))
     asking = keyed.where(is_query).select("vec_id", "k1", "k2").withColumnRenamed("vec_id", "query_id")
     other = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k)

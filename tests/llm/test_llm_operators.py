@@ -164,6 +164,21 @@ def test_nearest_against_brute_force(spark):
     assert hit >= 0.9 * 20 * len(by)
 
 
+def test_nearest_of_outlying_queries(spark):
+    g = np.random.default_rng(3)
+    x = np.repeat(g.normal(size=(40, 32)), 50, axis=0) + 0.01 * g.normal(size=(2000, 32))
+    alone = list(range(0, 2000, 200))
+    x[alone] = g.normal(size=(len(alone), 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    by = {}
+    for r in nearest.nearest(df, F.col("vec_id") % 20 == 0, block_rows=700).collect():
+        by.setdefault(r.query_id, []).append(r.vec_id)
+    assert {q: len(v) for q, v in by.items()} == dict.fromkeys(range(0, 2000, 20), 20)
+    score = x @ x.T
+    np.fill_diagonal(score, -np.inf)
+    assert all(len(set(np.argsort(-score[q])[:20].tolist()) & set(by[q])) >= 10 for q in by)
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (3, [2.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in nearest.nearest(df, F.col("vec_id") % 20 == 0).collect()] == [(0, 1, 3, 4.0)]

@@ -244,6 +244,12 @@ def mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.mcnemar(_pairs(spark, sf_dir), "type").withColumn("p", F.round("p", 9))
 
 
+@query()
+def mcnemar_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mcnemar over the runs of all orders; its own SQL holds to a slice of them."""
+    return evaluation.mcnemar(_runs(spark, sf_dir).withColumnRenamed("rank", "rank_a"), "type").withColumn("p", F.round("p", 9))
+
+
 _WILCOXON = f"""{_RUNS}, d AS (SELECT type, (rank_b - rank)::DOUBLE AS d FROM runs WHERE rank_b <> rank),
 r AS (SELECT type, d, rank() OVER (PARTITION BY type ORDER BY abs(d)) + (count(*) OVER (PARTITION BY type, abs(d)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY type, abs(d)) AS t FROM d),
 w AS (SELECT type, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w, sum(t::DOUBLE * t - 1) AS ties FROM r GROUP BY type),

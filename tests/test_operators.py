@@ -86,6 +86,20 @@ def test_statistics(spark):
     assert math.isclose(spark.range(1).select(evaluation.normal_tail(F.lit(1.96))).first()[0], 0.025, abs_tol=1e-4)
 
 
+def test_mcnemar_of_all_orders_against_brute_force(spark, duck):
+    place = lambda key, m: 0 if key % m > 10 else key % m
+    want = {}
+    for key, kind in duck.execute("SELECT o_orderkey, o_orderpriority FROM orders").fetchall():
+        a, b = place(key, 13) > 0, place(key, 17) > 0
+        lost, gained = want.get(kind, (0, 0))
+        want[kind] = (lost + (a and not b), gained + (b and not a))
+    got = {r.type: (r.lost, r.gained, r.p) for r in QUERIES["mcnemar_all"](spark, SF).collect()}
+    assert {k: v[:2] for k, v in got.items()} == want
+    for lost, gained, p in got.values():
+        tail = sum(math.comb(lost + gained, i) for i in range(min(lost, gained) + 1))
+        assert p == pytest.approx(min(1.0, 2 * tail / 2 ** (lost + gained)), abs=2e-9)
+
+
 def test_samples(spark):
     rows = spark.range(1000).withColumn("kind", F.col("id") % 4)
     assert sampling.supplement(rows, "kind", "id", 30).count() == 120

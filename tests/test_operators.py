@@ -86,6 +86,37 @@ def test_statistics(spark):
     assert math.isclose(spark.range(1).select(evaluation.normal_tail(F.lit(1.96))).first()[0], 0.025, abs_tol=1e-4)
 
 
+def _q_values(cells):
+    """(group, p) -> q by one sort."""
+    out = {}
+    for g in {g for g, _ in cells}:
+        ps, q = sorted(p for h, p in cells if h == g), 1.0
+        for r in range(len(ps), 0, -1):
+            q = min(q, ps[r - 1] * len(ps) / r)
+            out.setdefault((g, ps[r - 1]), q)
+    return out
+
+
+def test_q_values_of_all_customers(spark):
+    big = SF.replace("0.001", "0.1")
+    keys = [r.c_custkey for r in spark.read.parquet(f"{big}/customer.parquet").select("c_custkey").collect()]
+    p = {k: k * 7919 % 10007 / 10007.0 for k in keys}
+    want = _q_values([("", x) for x in p.values()])
+    got = {r.c_custkey: r.q for r in QUERIES["bh_qvalues_all"](spark, big).collect()}
+    assert len(keys) == 15_000 and set(got) == set(keys)
+    assert all(got[k] == pytest.approx(want["", p[k]], abs=2e-9) for k in keys)
+
+
+def test_q_values_by_group_in_ranges(spark):
+    cells = [(g, round((i * 37 % 101 / 101) ** 4, 6)) for g, n in (("a", 300), ("b", 7), (None, 40)) for i in range(n)]
+    df = spark.createDataFrame([(i, g, p, "x") for i, (g, p) in enumerate(cells)], "id long, g string, p double, q string").repartition(3)
+    got = evaluation.benjamini_hochberg(df, "p", "g", parts=9)
+    want = _q_values(cells)
+    rows = got.collect()
+    assert got.columns == ["id", "g", "p", "q"] and len(rows) == len(cells)
+    assert all(r.q == pytest.approx(want[r.g, r.p], abs=1e-12) for r in rows)
+
+
 def test_mcnemar_of_all_orders_against_brute_force(spark, duck):
     place = lambda key, m: 0 if key % m > 10 else key % m
     want = {}

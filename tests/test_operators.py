@@ -86,6 +86,15 @@ def test_statistics(spark):
     assert math.isclose(spark.range(1).select(evaluation.normal_tail(F.lit(1.96))).first()[0], 0.025, abs_tol=1e-4)
 
 
+@pytest.mark.parametrize("name", ["and_search_top10", "or_bm25_top10", "prefix_search_top10"])
+def test_searches_of_every_20th_part(spark, duck, name):
+    assert SQL[name].count("p_size = 7") == 1
+    want = duck.execute(SQL[name].replace("p_size = 7", "p_partkey % 20 = 0")).df()
+    asked = duck.execute("SELECT p_partkey FROM part WHERE p_partkey % 20 = 0").fetchall()
+    got = QUERIES[f"{name}_by_key"](spark, SF).toPandas()
+    assert set(got["query_id"]) == {k for (k,) in asked} and plain(got) == plain(want)
+
+
 def _q_values(cells):
     """(group, p) -> q by one sort."""
     out = {}

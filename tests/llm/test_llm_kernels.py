@@ -26,6 +26,39 @@ def test_pretokens_are_the_pattern(parts):
     assert found == [x for w in want for x in w] and counts.tolist() == [len(w) for w in want]
 
 
+EVERY = [chr(p) for p in (*range(0xD800), *range(0xE000, 0x110000))]
+
+
+def in_contexts():
+    """Texts that show each code point between letters, digits, marks and blanks: all that have a class, 1 of 16 others."""
+    kind = pretokens.classes()
+    return [f"a{c}b {c} 1{c}2!{c}{c}'{c}s\n{c} " for c in EVERY if kind[ord(c)] != pretokens.OTHER or ord(c) < 0x3000 or ord(c) % 16 == 0]
+
+
+def test_classes_of_all_code_points_are_those_of_both_libraries():
+    from tokenizers import Regex, pre_tokenizers
+
+    kind = pretokens.classes()
+    for k, pattern in ((pretokens.LETTER, r"\p{L}+"), (pretokens.NUMBER, r"\p{N}+"), (pretokens.SPACE, r"\s+")):
+        found = pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str("".join(EVERY))
+        assert {ord(c) for part, _ in found for c in part} == set(np.flatnonzero(kind == k).tolist())
+
+
+def test_ids_of_all_letters_are_the_libraries():
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    path, counted = P.path("byte_bpe_multi_50k.tiktoken"), P.path("byte_bpe_50k.json")
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in enumerate(merges.token_bytes(path))}, special_tokens={})
+    counter, shown = Tokenizer.from_file(counted), in_contexts()
+    for i in range(0, len(shown), 20_000):
+        part = shown[i : i + 20_000]
+        ids, counts = byte_bpe.encode_texts(part, path)
+        want = library.encode_ordinary_batch(part, num_threads=4)
+        assert ids.tolist() == [x for w in want for x in w] and counts.tolist() == [len(w) for w in want]
+        assert token_counts.count_texts(part, counted).tolist() == [len(e.ids) for e in counter.encode_batch(part, add_special_tokens=False)]
+
+
 @settings(max_examples=300, deadline=None)
 @given(texts, st.integers(4, 20), st.integers(4, 9))
 def test_chunks_meet_again(text, chunk, overlap):

@@ -1,411 +1,230 @@
-"""Token-ID files: an adaptive context-mixing range coder in independently reset, checksummed blocks.
+"""Token-ID files: ids by the tokenizers library, coded by a context-mixing range coder (id_coder) in checksummed blocks.
 
-Each id is coded in two steps. First a mixture of three predictors is asked where the id comes from: the id that last
-followed the two ids before it (order 2), the id that last followed the one before it (order 1), the ids seen in the
-block (order 0), or none of these. The mixture's frequencies adapt for each pair of confidences of the predictors. Then
-an id of order 0 is coded by its count in the block up to the last power of two, and a new id uniformly. Every block
-starts afresh, so blocks are coded side by side, as the lanes of numpy arrays, and decoded in any order.
+The library encodes; but as white space ends a word in such a vocabulary, each distinct word is encoded once and its ids
+are kept (a bounded number of words a worker), so a text costs a look-up a word.
 
 A file is a Parquet file, so Spark's committer makes a retried task harmless and any file system will do. Its rows are
-blocks: part, block (its number in the part), payload, and the documents that end in the block (doc_ids, ends). Parts
-are ranges of doc_id in ascending order. Payload, all little-endian:
-
-    magic b"KVID", version u8, 3 zero bytes, ids in the block u32, alphabet u32, crc32 of the ids (as u32) u32,
-    16-bit words of the range coder
+segments of whole documents: part, start (ids of the part before the segment), doc_ids, ends (of each document's ids in
+the segment) and payloads, the segment's blocks. Blocks are reset and read independently; no document reaches over two
+rows, so reading needs no shuffle and no order, and a lost task reads its own rows again. Parts are ranges of doc_id in
+ascending order, as many as the size of the texts asks for; ids before a part are added up from the files' own columns.
 
 Rows without a doc_id are left out; null and empty texts have the end id only. Repeated doc_ids stand next to each
-other, in order of their texts. A block whose checksum fails stops the reader with an error.
+other, in order of their texts. A very long text is one row of many blocks, coded a bounded number at a time. Columns
+other than doc_id and text are not read, so their names cannot clash. An empty table gives files without rows. A block
+whose checksum fails stops the reader with an error.
 """
 
 from __future__ import annotations
 
-import struct
-import unicodedata
-import zlib
+import json
+import os
+import re
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import merges, pieces
-from .common import U64, shared_folder, steps
-
-MAGIC, HEAD = b"KVID", struct.Struct("<4sB3xIII")
-BLOCK, LANES = 4096, 512  # ids of a block, at most 4096; blocks side by side
-SLOT_BITS = 12
-#: Words, and pieces of words, whose ids a worker keeps.
-WORDS = 200_000
-LEVELS = 4  # confidences of a predictor
-LOW, TOP = U64(0xFFFFFFFF), U64(1 << 32)
-
-
-class _Lanes:
-    """The model of blocks that are coded side by side; `ids` holds what is known of them, one row a block.
-
-    A predictor's slot is id * LEVELS + confidence. A place of the order-0 table packs where the id's run starts among
-    the sorted ids (first) and how long it is (times); `spot` has the same by position, with the id.
-    """
-
-    def __init__(self, n: int, length: int, alphabet: int, by_id: bool):
-        """by_id: whether the order-0 table is asked by id, which a decoder never does."""
-        self.n, self.alphabet = n, alphabet
-        self.ids = np.zeros((length + 2, n), np.int32)  # two rows of zeros stand before the first id
-        self.rows = np.arange(n)
-        self.base = self.rows << SLOT_BITS
-        self.guess = [np.zeros(n << SLOT_BITS, np.int32), np.zeros(n << SLOT_BITS, np.int32)]
-        self.mixed = np.tile(np.array([2, 2, 4, 4], np.int32), n * LEVELS * LEVELS)
-        self.seen = 0  # ids of the order-0 table: the first `seen` of each block
-        self.spot = None
-        self.place = np.zeros(n * alphabet, np.int32) if by_id else None
-
-    def learn(self, step: int) -> None:
-        """Makes the order-0 table of the first `step` ids, and keeps the mixture's sums small."""
-        n = self.n
-        if self.seen and self.place is not None:
-            self.place[(self.rows[:, None] * self.alphabet + (self.spot.reshape(n, -1) >> 26)).ravel()] = 0
-        s = np.sort(self.ids[2 : step + 2].T.astype(np.int64), axis=1)
-        at = np.broadcast_to(np.arange(step), (n, step))
-        new = np.concatenate([np.ones((n, 1), bool), s[:, 1:] != s[:, :-1]], axis=1)
-        first = np.maximum.accumulate(np.where(new, at, 0), axis=1)
-        after = np.concatenate([new[:, 1:], np.ones((n, 1), bool)], axis=1)
-        last = np.minimum.accumulate(np.where(after, at, step)[:, ::-1], axis=1)[:, ::-1]
-        packed = (first << 13) | (last - first + 1)
-        if self.place is not None:
-            self.place[(self.rows[:, None] * self.alphabet + s).ravel()] = packed.ravel()
-        self.spot, self.seen = ((s << 26) | packed).ravel(), step
-
-    def ask(self, step: int, m: int):
-        """Slots and their contents for both orders, the mixture's places, and the ends of its four ranges."""
-        one, two = self.ids[step + 1, :m].astype(np.int64), self.ids[step, :m].astype(np.int64)
-        mask = (1 << SLOT_BITS) - 1
-        x = (one + 1) * 40503
-        s1 = self.base[:m] + ((x >> 4) & mask)
-        s2 = self.base[:m] + (((x + two * 60493) >> 4) & mask)
-        v1, v2 = self.guess[0][s1], self.guess[1][s2]
-        place = ((self.rows[:m] * LEVELS + (v2 & 3)) * LEVELS + (v1 & 3)) * 4
-        e0 = self.mixed[place]
-        e1 = e0 + self.mixed[place + 1]
-        e2 = e1 + self.mixed[place + 2]
-        return (s1, s2), (v1, v2), place, (e0, e1, e2, e2 + self.mixed[place + 3])
-
-    def tell(self, slots, values, place, choice, ids: np.ndarray, hits) -> None:
-        for guess, s, v, hit in zip(self.guess, slots, values, hits, strict=True):
-            t = v & 3
-            guess[s] = np.where(hit, v + (t < LEVELS - 1), np.where(t > 1, v - 1, ids * LEVELS))
-        self.mixed[place + choice] += 8
-
-    def calm(self) -> None:
-        """Halves large sums; they grow by 8 a step at most."""
-        m = self.mixed.reshape(-1, 4)
-        big = m.sum(axis=1) > 16_000
-        if big.any():
-            m[big] = (m[big] + 1) >> 1
-
-
-def _batched(sizes: list[int]) -> np.ndarray:
-    """Blocks from the longest to the shortest, so that those still running are always the first ones."""
-    return np.argsort(-np.array(sizes, np.int64), kind="stable")
-
-
-def _powers(step: int) -> bool:
-    return step >= 16 and step & (step - 1) == 0
-
-
-def _ranges(ends, c0, c1, c2):
-    e0, e1, e2, e3 = ends
-    low = np.where(c0, 0, np.where(c1, e0, np.where(c2, e1, e2)))
-    return low, np.where(c0, e0, np.where(c1, e1, np.where(c2, e2, e3))) - low
-
-
-def compress(blocks: list[np.ndarray], alphabet: int) -> list[bytes]:
-    """The payloads of the blocks."""
-    order = _batched([len(b) for b in blocks])
-    sizes = np.array([len(blocks[i]) for i in order], np.int64)
-    if not len(sizes):
-        return []
-    n, length = len(sizes), int(sizes[0])
-    model = _Lanes(n, length, alphabet, True)
-    truth = np.zeros((length, n), np.int32)
-    for row, i in enumerate(order):
-        truth[: sizes[row], row] = blocks[i]
-    low, span = np.zeros(n, U64), np.full(n, (1 << 48) - 1, U64)
-    out, filled = np.zeros((n, 2 * length + 8), np.uint32), np.zeros(n, np.int64)
-    flat, width = out.reshape(-1), out.shape[1]
-
-    def put(m: int, low_at: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        part = span[:m] // total.astype(U64)
-        low[:m] += part * low_at.astype(U64)
-        part *= size.astype(U64)
-        span[:m] = part
-        need = np.flatnonzero(part < TOP)
-        if len(need):
-            x, f = low[need], filled[need]
-            flat[need * width + f] = x >> U64(32)
-            filled[need] = f + 1
-            low[need] = (x & LOW) << U64(16)
-            span[need] = part[need] << U64(16)
-
-    for step in range(length):
-        m = int(np.searchsorted(-sizes, -step, "left"))
-        if _powers(step):
-            model.learn(step)
-        if step % 256 == 255:
-            model.calm()
-        slots, values, place, ends = model.ask(step, m)
-        ids = truth[step, :m]
-        where = model.place[model.rows[:m] * alphabet + ids]
-        h1, h2 = (values[0] >> 2) == ids, (values[1] >> 2) == ids
-        old = where > 0
-        put(m, *_ranges(ends, h2, h1, old), ends[3])
-        hit = h1 | h2
-        seen = old & ~hit
-        new = ~(old | hit)
-        put(m, np.where(seen, where >> 13, np.where(new, ids, 0)), np.where(seen, where & 8191, 1), np.where(seen, max(1, model.seen), np.where(new, alphabet, 1)))
-        model.ids[step + 2, :m] = ids
-        model.tell(slots, values, place, np.where(h2, 0, np.where(h1, 1, np.where(old, 2, 3))), ids, (h1, h2))
-    for _ in range(3):  # the rest of `low`
-        out[np.arange(n), filled] = low >> U64(32)
-        filled += 1
-        low = (low & LOW) << U64(16)
-    # A word of more than 16 bits carries into the one before it.
-    for i in range(int(filled.max()) - 1, 0, -1):
-        out[:, i - 1] += out[:, i] >> np.uint32(16)
-    coded = (out & np.uint32(0xFFFF)).astype("<u2")
-    result: list[bytes] = [b""] * n
-    for row, i in enumerate(order):
-        head = HEAD.pack(MAGIC, 1, int(sizes[row]), alphabet, zlib.crc32(np.asarray(blocks[i]).astype("<u4").tobytes()))
-        result[i] = head + coded[row, : filled[row]].tobytes()
-    return result
-
-
-def expand(payloads: list[bytes]) -> list[np.ndarray]:
-    """The ids of the payloads; an error if one is damaged."""
-    try:
-        with np.errstate(divide="ignore"):
-            return _expanded(payloads)
-    except (IndexError, struct.error) as e:  # a damaged block can ask for words, or guess ids, that don't exist
-        raise ValueError("a block of token ids is damaged") from e
-
-
-def _expanded(payloads: list[bytes]) -> list[np.ndarray]:
-    heads = [HEAD.unpack_from(p) for p in payloads]
-    if any(h[0] != MAGIC or h[1] != 1 for h in heads):
-        raise ValueError("not a block of token ids")
-    alphabets = {h[3] for h in heads}
-    if len(alphabets) > 1:
-        result: list = [None] * len(payloads)
-        for a in alphabets:
-            own = [i for i, h in enumerate(heads) if h[3] == a]
-            for i, ids in zip(own, _expanded([payloads[i] for i in own]), strict=True):
-                result[i] = ids
-        return result
-    order = _batched([h[2] for h in heads])
-    sizes = np.array([heads[i][2] for i in order], np.int64)
-    if not len(sizes):
-        return []
-    n, length, alphabet = len(sizes), int(sizes[0]), alphabets.pop()
-    model = _Lanes(n, length, alphabet, False)
-    width = (max(len(p) for p in payloads) - HEAD.size) // 2 + 8
-    data = np.zeros((n, width), np.uint16)
-    for row, i in enumerate(order):
-        w = np.frombuffer(payloads[i], "<u2", offset=HEAD.size)
-        data[row, : len(w)] = w
-    code = (data[:, 0].astype(U64) << U64(32)) | (data[:, 1].astype(U64) << U64(16)) | data[:, 2].astype(U64)
-    flat = data.reshape(-1)
-    span, taken = np.full(n, (1 << 48) - 1, U64), np.arange(n) * width + 3
-
-    def take(m: int, low_at: np.ndarray, size: np.ndarray, part: np.ndarray) -> None:
-        code[:m] -= part * low_at.astype(U64)
-        part = part * size.astype(U64)
-        span[:m] = part
-        need = np.flatnonzero(part < TOP)
-        if len(need):
-            t = taken[need]
-            code[need] = (code[need] << U64(16)) | flat[t]
-            taken[need] = t + 1
-            span[need] = part[need] << U64(16)
-
-    for step in range(length):
-        m = int(np.searchsorted(-sizes, -step, "left"))
-        if _powers(step):
-            model.learn(step)
-        if step % 256 == 255:
-            model.calm()
-        slots, values, place, ends = model.ask(step, m)
-        part = span[:m] // ends[3].astype(U64)
-        at = np.minimum((code[:m] // part).astype(np.int64), ends[3] - 1)
-        c0, b1, b2 = at < ends[0], at < ends[1], at < ends[2]
-        take(m, *_ranges(ends, c0, b1, b2), part)
-        seen, new = b2 & ~b1, ~b2
-        total = np.where(seen, max(1, model.seen), np.where(new, alphabet, 1))
-        part = span[:m] // total.astype(U64)
-        at = np.minimum((code[:m] // part).astype(np.int64), total - 1)
-        packed = model.spot[model.rows[:m] * model.seen + np.where(seen, at, 0)] if model.seen else np.zeros(m, np.int64)
-        guess = np.where(c0, values[1] >> 2, values[0] >> 2)
-        ids = np.where(b1, guess, np.where(seen, packed >> 26, at)).astype(np.int32)
-        take(m, np.where(seen, (packed >> 13) & 8191, np.where(new, at, 0)), np.where(seen, packed & 8191, 1), part)
-        model.ids[step + 2, :m] = ids
-        model.tell(slots, values, place, np.where(c0, 0, np.where(b1, 1, np.where(seen, 2, 3))), ids, ((values[0] >> 2) == ids, (values[1] >> 2) == ids))
-    result = [np.zeros(0, np.int64)] * n
-    whole = np.ascontiguousarray(model.ids[2:].T)
-    for row, i in enumerate(order):
-        result[i] = whole[row, : sizes[row]]
-        if zlib.crc32(result[i].astype("<u4").tobytes()) != heads[i][4]:
-            raise ValueError("a block of token ids is damaged")
-    return result
+from . import pieces, pretokens
+from .common import CACHE_ENTRIES, shared_folder, steps
+from .id_coder import BLOCK, compress, expand
 
+LANES = 2_048  # blocks coded side by side
+SEGMENT = 16 * BLOCK  # ids at which a segment is closed
+PART_BYTES = 24 << 20  # text of a part, about
+_JOINED = 1_000  # words that the library gets at once
 
-class _Words:
-    """A word-level vocabulary: white space is dropped, words are composed, lower-cased and cut before they are merged."""
 
-    def __init__(self, path: str):
-        import json
+#: Marks at a word's end that the vocabulary's pattern always parts from a letter or digit before them.
+_TRAIL = '.,;:!?*&$%#)"'
+
+
+class _Stems:
+    """The ids of strings without white space by the library, a thousand strings a call."""
 
-        import regex
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
-        self.base = pieces.PieceIds(merges.from_json(path), WORDS)
-        self.special = {t["content"]: t["id"] for t in file.get("added_tokens", []) if t.get("special")}
-        self.size = max([*file["model"]["vocab"].values(), *self.special.values()]) + 1
-        # Fixed value: the pattern of the vocabulary's pre-tokeniser.
-        self.pattern = regex.compile(next(p["pattern"]["Regex"] for p in file["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
-        self.parts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.cut = regex.compile(r"[^\t-\r\x20\x85\xA0  -     　]+")
-
-    def words(self, text: str) -> list[str]:
-        # str.split() also splits at the four separators 1C to 1F, which are no white space to the library.
-        return self.cut.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
-
-    def _cut(self, word: str) -> list[str | int]:
-        if self.parts is not None and "<|" in word:
-            out: list[str | int] = []
-            for p in self.parts.split(word):
-                out += [self.special[p]] if p in self.special else self._cut_plain(p)
-            return out
-        return self._cut_plain(word)
-
-    def _cut_plain(self, word: str) -> list[str]:
-        word = unicodedata.normalize("NFC", word)
-        word = word.lower() if "Σ" not in word else "".join(c.lower() for c in word)
-        return [word] if word.isascii() and word.isalpha() else self.pattern.findall(word)
-
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        cut = [self._cut(w.decode("utf-8", "surrogatepass")) for w in words]
-        flat = [p for c in cut for p in c]
-        ids, count = self.base.ids([p if isinstance(p, str) else "" for p in flat])
-        fixed = np.array([i for i, p in enumerate(flat) if not isinstance(p, str)], np.int64)
-        if len(fixed):
-            ids = np.insert(ids, (np.cumsum(count) - count)[fixed], [flat[i] for i in fixed])
-            count = count.copy()
-            count[fixed] = 1
-        return ids, pieces.sums(count, np.array([len(c) for c in cut], np.int64))
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.size = self.library.get_vocab_size()
+        # A special string that the library finds whatever stands around it can part words; ids tell where it stood.
+        plain = [t for t in file.get("added_tokens", []) if t["special"] and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"])]
+        self.mark, self.mark_id = (plain[-1]["content"], plain[-1]["id"]) if plain else (None, None)
+
+    def _called(self, strings: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def encode_strings(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words laid end to end, and how many each word has."""
+        odd = {i for i, w in enumerate(words) if self.mark is None or self.mark in w}  # these go one by one
+        ids, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(0, len(words), _JOINED):
+            part = words[i : i + _JOINED]
+            here = [j for j in range(len(part)) if i + j in odd]
+            own, count = np.zeros(0, np.int64), np.zeros(len(part), np.int64)
+            if len(here) < len(part):
+                joined = part if not here else ["" if i + j in odd else w for j, w in enumerate(part)]
+                [whole] = self._called([self.mark.join([*joined, ""])])
+                all_ids = np.array(whole, np.int64)
+                marks = all_ids == self.mark_id
+                own, count = all_ids[~marks], np.diff(np.concatenate([[-1], np.flatnonzero(marks)])) - 1
+            if here:
+                alone = self._called([part[j] for j in here])
+                sizes = np.array([len(x) for x in alone], np.int64)
+                own = np.insert(own, np.repeat((np.cumsum(count) - count)[here], sizes), [x for one in alone for x in one])
+                count[here] = sizes
+            ids.append(own)
+            counts.append(count)
+        return np.concatenate(ids), np.concatenate(counts)
+
+
+class _Words:
+    """The ids of words: a word is its stem and the marks at its end, and each distinct one of these is encoded once."""
+
+    def __init__(self, path: str):
+        self.stems = pieces.PieceIds(_Stems(path), CACHE_ENTRIES)
+        self.size = self.stems.vocabulary.size
+
+    def encode_strings(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        kind, flat, counts = pretokens.classes(), [], []
+        for w in words:
+            if w.isascii():
+                w = w.lower()
+            stem = w.rstrip(_TRAIL)
+            # Where a small letter is two characters, the second one would join the marks.
+            if len(stem) < len(w) and stem and kind[ord(stem[-1])] != pretokens.OTHER and len(stem[-1].lower()) == 1:
+                flat += (stem, w[len(stem) :])
+                counts.append(2)
+            else:
+                flat.append(w)
+                counts.append(1)
+        ids, sizes = self.stems.ids(flat)
+        return ids, pieces.sums(sizes, np.array(counts, np.int64))
+
+
+# White space as the library has it: what str.split() splits at, without the separators 1C to 1F.
+_WORD = re.compile(r"[^\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+")
+_SEPARATOR = re.compile("[\x1c-\x1f]")
+
+
+def _split(text: str) -> list[str]:
+    return _WORD.findall(text) if _SEPARATOR.search(text) else text.split()
 
 
 @cache
 def _of_words(path: str) -> pieces.PieceIds:
-    return pieces.PieceIds(_Words(path), WORDS)
+    return pieces.PieceIds(_Words(path), CACHE_ENTRIES)
 
 
 def encode_texts(texts: list[str], path: str, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts, each closed by the end id, and how many each text has."""
     own = _of_words(path)
-    split = [own.vocabulary.words(t) for t in texts]
+    split = [_split(t) for t in texts]
     sizes = np.fromiter(map(len, split), np.int64, len(split))
     ids, count = own.ids([w for s in split for w in s])
     per_text = pieces.sums(count, sizes)
     return np.insert(ids, np.cumsum(per_text), end), per_text + 1
 
 
-_ROWS = "part int, block int, payload binary, doc_ids array<long>, ends array<int>"
+_ROWS = "part int, start long, doc_ids array<long>, ends array<long>, payloads array<binary>"
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2, block: int = BLOCK, lanes: int = LANES) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2, block: int = BLOCK, lanes: int = LANES, segment: int = SEGMENT, part_bytes: int = PART_BYTES) -> None:
     """Writes the ids of docs (doc_id, text) to `path`. One shuffle: the texts, by ranges of doc_id."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    total = own.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
 
     def kernel(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
 
-        part, number, begun = TaskContext.get().partitionId(), 0, 0
-        size = _of_words(tokenizer).vocabulary.size
-        held, ids_of, ends_of = np.zeros(0, np.int64), [], []
-
-        def pack(count: int, whole: bool):
-            """The first `count` blocks of what is held; their documents' ends count from the part's start."""
-            nonlocal held, number, begun, ids_of, ends_of
-            pieces_ = [held[i * block : (i + 1) * block] for i in range(count)]
-            ends = np.array(ends_of, np.int64)
-            of = (ends - 1 - begun) // block
-            rows = [([ids_of[j] for j in np.flatnonzero(of == i)], (ends[of == i] - begun - i * block).tolist()) for i in range(count)]
-            later = int((of < count).sum())
-            ids_of, ends_of = ids_of[later:], ends_of[later:]
-            done = sum(map(len, pieces_))
-            held, begun = held[done:], begun + done
-            payloads = compress(pieces_, size)
-            first, number = number, number + count
-            return pa.RecordBatch.from_arrays([pa.array([part] * count, pa.int32()), pa.array(range(first, number), pa.int32()), pa.array(payloads, pa.binary()), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], ["part", "block", "payload", "doc_ids", "ends"])
+        part, size = TaskContext.get().partitionId(), _of_words(tokenizer).vocabulary.size
+        begun, open_ids, doc_ids, ends = 0, [], [], []  # the segment that is filled
+        waiting, blocks = [], 0  # closed segments
+
+        def close() -> None:
+            nonlocal begun, open_ids, doc_ids, ends, blocks
+            ids = np.concatenate(open_ids)
+            cut = [ids[i : i + block] for i in range(0, len(ids), block)]
+            waiting.append((begun, doc_ids, ends, cut))
+            begun, blocks = begun + len(ids), blocks + len(cut)
+            open_ids, doc_ids, ends = [], [], []
+
+        def coded() -> pa.RecordBatch:
+            nonlocal waiting, blocks
+            flat = [b for *_, cut in waiting for b in cut]
+            payloads = [p for i in range(0, len(flat), lanes) for p in compress(flat[i : i + lanes], size)]
+            at = np.concatenate([[0], np.cumsum([len(cut) for *_, cut in waiting])]).tolist()
+            columns = [
+                pa.array([part] * len(waiting), pa.int32()), pa.array([w[0] for w in waiting], pa.int64()),
+                pa.array([w[1] for w in waiting], pa.list_(pa.int64())), pa.array([w[2] for w in waiting], pa.list_(pa.int64())),
+                pa.array([payloads[a:b] for a, b in zip(at, at[1:])], pa.list_(pa.binary())),  # noqa: RUF007
+            ]
+            waiting, blocks = [], 0
+            return pa.RecordBatch.from_arrays(columns, ["part", "start", "doc_ids", "ends", "payloads"])
 
         for batch, texts in steps(batches):
             ids, counts = encode_texts(texts, tokenizer, end)
-            ends_of += (begun + len(held) + np.cumsum(counts)).tolist()
-            ids_of += batch.column(0).to_pylist()
-            held = np.concatenate([held, ids])
-            while len(held) >= lanes * block:
-                yield pack(lanes, False)
-        if len(held):
-            yield pack(-(-len(held) // block), True)
-
-    dealt = own.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    dealt.mapInArrow(kernel, _ROWS).write.parquet(path)
+            upto = np.cumsum(counts).tolist()
+            for doc_id, a, b in zip(batch.column(0).to_pylist(), [0, *upto], upto):  # noqa: B905
+                open_ids.append(ids[a:b])
+                doc_ids.append(doc_id)
+                ends.append((ends[-1] if ends else 0) + b - a)
+                if ends[-1] >= segment:
+                    close()
+                    if blocks >= lanes:
+                        yield coded()
+        if doc_ids:
+            close()
+        if waiting:
+            yield coded()
+
+    parts = max(1, -(-total // part_bytes))
+    own.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(kernel, _ROWS).write.parquet(path)
 
 
 def read_back(spark, path: str, lanes: int = LANES, packed: bool = False) -> DataFrame:
     """doc_id, start, ids of all documents of the files at `path`: array<int>, or bytes of four a little-endian id."""
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = spark.read.schema(_ROWS).parquet(path)
+    rows = spark.read.schema(_ROWS).parquet(path)
+
+    def opened(held: list[tuple]) -> pa.RecordBatch:
+        flat = [p for *_, payloads in held for p in payloads]
+        blocks = [b for i in range(0, len(flat), lanes) for b in expand(flat[i : i + lanes])]
+        out, at = {"part": [], "doc_id": [], "offset": [], "ids": []}, 0
+        for part, start, doc_ids, ends, payloads in held:
+            ids = np.concatenate(blocks[at : at + len(payloads)])
+            at += len(payloads)
+            for doc_id, a, b in zip(doc_ids, [0, *ends], ends):  # noqa: B905
+                own = ids[a:b]
+                for k, v in zip(out, (part, doc_id, start + a, own.astype("<u4").tobytes() if packed else own.astype(np.int32)), strict=True):
+                    out[k].append(v)
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary() if packed else pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
 
     def kernel(batches: Iterator[pa.RecordBatch]):
-        part, carried, at, held = None, [], 0, []
-
-        def open_():
-            nonlocal part, carried, at, held
-            out = {"part": [], "doc_id": [], "offset": [], "ids": []}
-            for (own, doc_ids, ends, _), ids in zip(held, expand([h[3] for h in held]), strict=True):
-                if own != part:
-                    part, carried, at = own, [], 0
-                begin = 0
-                for doc_id, e in zip(doc_ids, ends, strict=True):
-                    whole = np.concatenate([*carried, ids[begin:e]])
-                    for k, v in zip(out, (part, doc_id, at, whole.astype("<u4").tobytes() if packed else whole.astype(np.int32)), strict=True):
-                        out[k].append(v)
-                    at, carried, begin = at + len(whole), [], e
-                carried.append(ids[begin:])
-            held = []
-            return pa.RecordBatch.from_arrays([pa.array(out["part"], pa.int32()), pa.array(out["doc_id"], pa.int64()), pa.array(out["offset"], pa.int64()), pa.array(out["ids"], pa.binary() if packed else pa.list_(pa.int32()))], list(out))
-
+        held, blocks = [], 0
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in (0, 3, 4, 2)]
-            for row in zip(*columns, strict=True):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held.append(row)
-                if len(held) == lanes:
-                    yield open_()
+                blocks += len(row[-1])
+                if blocks >= lanes:
+                    yield opened(held)
+                    held, blocks = [], 0
         if held:
-            yield open_()
-
-    ordered = blocks.repartition(parts, "part").sortWithinPartitions("part", "block")
-    docs = ordered.mapInArrow(kernel, f"part int, doc_id long, offset long, ids {'binary' if packed else 'array<int>'}")
-    # Ids of each part, from its headers' counts; parts are as many as tasks, so the sum over them is small.
-    from pyspark.sql import Window
+            yield opened(held)
 
-    count = sum((F.conv(F.hex(F.substring("payload", 9 + i, 1)), 16, 10).cast("long") * (1 << 8 * i) for i in range(4)), F.lit(0).cast("long"))
-    sizes = blocks.groupBy("part").agg(F.sum(count).alias("n"))
+    docs = rows.mapInArrow(kernel, f"part int, doc_id long, offset long, ids {'binary' if packed else 'array<int>'}")
+    # One row a part, of which there is one for each PART_BYTES of text: a small sum on one task, and a small broadcast.
+    sizes = rows.groupBy("part").agg(F.max(F.col("start") + F.element_at("ends", -1)).alias("n"))
     starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    return docs.join(starts, "part").select("doc_id", (F.col("before") + F.col("offset")).alias("start"), "ids")
+    return docs.join(F.broadcast(starts), "part").select("doc_id", (F.col("before") + F.col("offset")).alias("start"), "ids")
 
 
 def digests(rows: DataFrame) -> DataFrame:

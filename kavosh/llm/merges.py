@@ -94,6 +94,9 @@ class Vocabulary:
             sym[ends] = self.last[raw[ends]]
         return self.merger(sym, lengths)
 
+    def encode_strings(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self.encode([p.encode("utf-8", "surrogatepass") for p in pieces])
+
 
 def _ids(vocab: dict[str, int], suffix: str = "") -> np.ndarray:
     return np.array([vocab[byte_letters()[b] + suffix] for b in range(256)], np.int64)

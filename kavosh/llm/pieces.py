@@ -32,7 +32,7 @@ class PieceIds:
         if len(self.index) > self.limit:
             self.clear()
         if new := list(set(pieces).difference(self.index)):
-            ids, count = self.vocabulary.encode([p.encode("utf-8", "surrogatepass") for p in new])
+            ids, count = self.vocabulary.encode_strings(new)
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(count) - count])
             self.flat, self.count = np.concatenate([self.flat, ids.astype(np.int32)]), np.concatenate([self.count, count])

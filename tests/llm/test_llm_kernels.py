@@ -11,7 +11,7 @@ import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from kavosh.llm import byte_bpe, decontamination, id_files, jaccard_join, lm_score, merges, nearest, pretokens, quality, secrets, suffix_dedup, token_counts
+from kavosh.llm import byte_bpe, decontamination, id_coder, id_files, jaccard_join, lm_score, merges, nearest, pretokens, quality, secrets, suffix_dedup, token_counts
 from kavosh.llm.common import WordHashes, shingles
 
 LETTERS = ["a", "b", "'", "s", "re", "ll", "t", " ", "  ", "\n", "\t", ".", "!", "1", "²", "é", "\x1c", "\x85", "한", "😀", "x" * 30]
@@ -98,20 +98,57 @@ def test_word_ids_are_the_library(text):
     assert ids.tolist() == [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 2] and counts.tolist() == [len(ids)]
 
 
+def test_word_ids_of_all_code_points_are_the_library():
+    from tokenizers import Tokenizer
+
+    path, library = P.path("word_bpe_49k.json"), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    # Case and composition matter, so all letters, marks and case pairs stand in contexts; 1 of 16 others.
+    shown = [f"a{c}b {c}{c} {c}\u0301A" for c in EVERY if c.isalpha() or c.lower() != c or ord(c) < 0x3000 or ord(c) % 16 == 0]
+    for i in range(0, len(shown), 20_000):
+        part = shown[i : i + 20_000]
+        ids, counts = id_files.encode_texts(part, path, 2)
+        want = [[*e.ids, 2] for e in library.encode_batch(part, add_special_tokens=False)]
+        assert ids.tolist() == [x for w in want for x in w] and counts.tolist() == [len(w) for w in want]
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 40), max_size=90), max_size=6), st.integers(41, 60000))
 def test_range_coder_round_trip(blocks, alphabet):
     arrays = [np.array(b, np.int64) for b in blocks]
-    back = id_files.expand(id_files.compress(arrays, alphabet))
+    back = id_coder.expand(id_coder.compress(arrays, alphabet))
     assert [b.tolist() for b in back] == blocks
 
 
+def test_range_coder_of_hard_blocks():
+    """All ids new, one id only, ids of 17 bits, carries, copies, and blocks of different lengths side by side."""
+    g = np.random.default_rng(1)
+    base = g.integers(0, 70_000, 900)
+    arrays = [g.permutation(70_000)[:4096], np.zeros(4096, np.int64), np.full(3, 69_999), np.tile(base, 4), np.repeat(base, 3), np.zeros(0, np.int64), g.integers(0, 2, 4000)]
+    payloads = id_coder.compress(arrays, 70_000)
+    assert [b.tolist() for b in id_coder.expand(payloads[::-1])] == [a.tolist() for a in arrays[::-1]]
+    assert len(payloads[1]) < 100 and len(payloads[3]) < len(payloads[0]) / 2  # what is predictable takes little
+
+
+def test_mixing_beats_order_0():
+    """Ids of a chain with memory of two: fewer bits than their order-0 entropy, checksums and heads included."""
+    g = np.random.default_rng(7)
+    likely = g.integers(0, 40, (40, 40))
+    ids = [1, 2]
+    for fresh, p in zip(g.zipf(1.3, 120_000).tolist(), g.random(120_000).tolist(), strict=True):
+        ids.append(int(likely[ids[-2], ids[-1]]) if p < 0.5 else min(fresh, 39))
+    ids = np.array(ids)
+    p = np.bincount(ids) / len(ids)
+    entropy = -(p[p > 0] * np.log2(p[p > 0])).sum()
+    payloads = id_coder.compress([ids[i : i + id_coder.BLOCK] for i in range(0, len(ids), id_coder.BLOCK)], 40)
+    assert sum(map(len, payloads)) * 8 < 0.95 * entropy * len(ids)
+
+
 def test_range_coder_finds_damage():
-    [block] = id_files.compress([np.arange(500) % 77], 100)
+    [block] = id_coder.compress([np.arange(500) % 77], 100)
     assert len(block) < 600
-    for at in (12, id_files.HEAD.size + 9):
+    for at in (5, 8, 12, 16, id_coder.HEAD.size + 9):
         with pytest.raises(ValueError):
-            id_files.expand([block[:at] + bytes([block[at] ^ 5]) + block[at + 1 :]])
+            id_coder.expand([block[:at] + bytes([block[at] ^ 5]) + block[at + 1 :]])
 
 
 def brute_secrets(t):
@@ -230,5 +267,5 @@ def test_network_prefers_what_it_saw():
 
 def test_crc_of_ids_is_over_four_bytes_each():
     ids = np.array([1, 2, 49407])
-    [block] = id_files.compress([ids], 49408)
-    assert id_files.HEAD.unpack_from(block)[4] == zlib.crc32(ids.astype("<u4").tobytes())
+    [block] = id_coder.compress([ids], 49408)
+    assert id_coder.HEAD.unpack_from(block)[4] == zlib.crc32(ids.astype("<u4").tobytes())

@@ -29,10 +29,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import pieces, pretokens
-from .common import CACHE_ENTRIES, shared_folder, steps
+from .common import shared_folder, steps
 from .id_coder import BLOCK, compress, expand
 
-LANES = 2_048  # blocks coded side by side
+LANES = 1_024  # blocks coded side by side
+WORDS = 200_000  # words, and stems, whose ids a worker keeps
 SEGMENT = 16 * BLOCK  # ids at which a segment is closed
 PART_BYTES = 24 << 20  # text of a part, about
 _JOINED = 1_000  # words that the library gets at once
@@ -90,7 +91,7 @@ class _Words:
     """The ids of words: a word is its stem and the marks at its end, and each distinct one of these is encoded once."""
 
     def __init__(self, path: str):
-        self.stems = pieces.PieceIds(_Stems(path), CACHE_ENTRIES)
+        self.stems = pieces.PieceIds(_Stems(path), WORDS)
         self.size = self.stems.vocabulary.size
 
     def encode_strings(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +122,7 @@ def _split(text: str) -> list[str]:
 
 @cache
 def _of_words(path: str) -> pieces.PieceIds:
-    return pieces.PieceIds(_Words(path), CACHE_ENTRIES)
+    return pieces.PieceIds(_Words(path), WORDS)
 
 
 def encode_texts(texts: list[str], path: str, end: int) -> tuple[np.ndarray, np.ndarray]:

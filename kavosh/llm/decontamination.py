@@ -11,8 +11,9 @@ An item of fewer than five words is one shingle of all its words and is looked f
 documents match nothing. Rows without an id are left out. Repeated rows of documents give repeated results; repeated
 items with one id give its largest containment. Hashes have 64 bits.
 
-The items are collected in blocks of at most BLOCK shingles by expectation and broadcast one block at a time, so the
-size of a broadcast does not grow with the benchmark.
+The items are dealt into blocks of about BLOCK shingles. One block at a time is collected, broadcast, searched for in all
+documents and released, so what is sent and held does not grow with the benchmark; the documents are read once a block.
+Only the id and the text are read of either table, so other columns' names cannot clash. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, shingles, steps
+from .common import U64, WordHashes, free_name, shingles, steps, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -105,6 +106,8 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     prepared = _prepared(items, n)
     total = prepared.agg(F.sum(F.size("shingles"))).collect()[0][0] or 0
     blocks = max(1, -(-total // block))
+    if blocks > 1:  # what is read for each block is made once
+        prepared = written(prepared, "items")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
     def search(number: int) -> DataFrame:
@@ -124,12 +127,25 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(),) * 4 + (pa.float64(),), strict=True)], ["doc_id", "item_id", "n_shared", "n_item", "containment"])
 
-        return own.mapInArrow(kernel, "doc_id long, item_id long, n_shared long, n_item long, containment double")
+        found = own.mapInArrow(kernel, "doc_id long, item_id long, n_shared long, n_item long, containment double")
+        if blocks == 1:
+            return found
+        found = written(found, "found")
+        sent.unpersist()
+        return found
 
     return reduce(DataFrame.unionByName, [search(i) for i in range(blocks)])
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents that contain no item; their columns stay as they are."""
-    found = contained_items(docs, items, **options).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long") == F.col("_found"), "left_anti")
+    """The documents that contain no item; their columns stay as they are. Documents without an id are searched, too.
+
+    Rows are told apart by doc_id and text, so of rows that share an id only those whose own text has an item go.
+    """
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), F.col("doc_id").isNull(), F.xxhash64("text"), F.xxhash64("text", F.lit(1))]
+    row, gone = free_name(docs, "_row"), free_name(docs, "_gone")
+    keyed = docs.withColumn(row, F.struct(*key))
+    # The search hands on a long id, so each row gets a hash of its key for one.
+    found = contained_items(keyed.select(F.xxhash64(row).alias("doc_id"), "text"), items, **options)
+    found = found.select(F.col("doc_id").alias(gone)).distinct()
+    return keyed.join(found, F.xxhash64(row) == F.col(gone), "left_anti").drop(row)

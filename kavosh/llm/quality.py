@@ -128,17 +128,17 @@ def score_texts(texts: list[str], weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip((total[ends] - total[ends - sizes]) / np.sqrt(np.maximum(sizes, 1)) + weights[-1], -30, 30)))
 
 
-def score(docs: DataFrame, weights: bytes, text: str = "text") -> DataFrame:
-    """docs with `score double`. Narrow; the weights (1 MB, a fixed size) are broadcast."""
+def score(docs: DataFrame, weights: bytes, text: str = "text", out: str = "score") -> DataFrame:
+    """docs with `score double`, in place of a column of that name. Narrow; the weights (1 MB, a fixed size) are broadcast."""
     from pyspark.sql import types as T
 
     sent = docs.sparkSession.sparkContext.broadcast(weights)
-    kept = docs.drop("score")
-    schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())])
+    kept = docs.drop(out)
+    schema = T.StructType([*kept.schema.fields, T.StructField(out, T.DoubleType())])
 
     def kernel(batches):
         w = np.frombuffer(sent.value, np.float32)
         for batch, texts in steps(batches, text):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score_texts(texts, w))], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score_texts(texts, w))], [*batch.schema.names, out])
 
     return kept.mapInArrow(kernel, schema)

@@ -12,11 +12,13 @@
 
 Memory is bounded by a bucket, and buckets grow in number with the corpus, not in size. Contexts that are equal in full
 are settled before they are sent and again before a bucket is sorted (all but the first are removed), and anchors known
-to repeat go to any bucket, so a passage that stands in a third of all documents adds a few rows a task to its bucket.
+to repeat go to any bucket. A task remembers what it has sent (a bounded number of anchors and contexts), so a passage
+that stands in a third of all documents adds one anchor a task to its bucket, and the few contexts that are earlier than
+all that the task met before.
 
-Null and empty texts have 0 bytes; texts shorter than LENGTH keep all of theirs. doc_id should be unique: rows that
-share one are judged as one document at the same place, and each loses what was found for the id. Rows without a
-doc_id are left out.
+Null and empty texts have 0 bytes; texts shorter than LENGTH keep all of theirs. Rows that share a doc_id are documents
+of their own, in the order of a hash of their texts; equal rows follow each other. Rows without a doc_id are left out.
+Columns other than doc_id and text are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ WINDOW = LENGTH - KGRAM + 1
 BUCKET_BYTES = 16 << 20
 CONTEXT_BYTES = 4 << 20
 STEP_BYTES = 2_000_000
+#: Anchors, and contexts, that a task remembers.
+REMEMBERED = 200_000
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -148,13 +152,17 @@ def _repeating(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
     names, kinds = ["hash", "doc", "at", "known"], [np.uint64, np.int64, np.int64, np.uint8]
 
     def find(batches):
+        sent = np.zeros(0, U64)  # hashes, in order, that this task has shown to repeat
         for batch, data, ends in _texts(batches):
             h, at, _, _ = anchors(data, ends)
             text = np.searchsorted(ends, at, "right")
             doc = np.asarray(batch.column(0))[text] if len(at) else np.zeros(0, np.int64)
-            _, first, of, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-            known = np.where(times[of] > 1, 1, 0).astype(np.uint8)  # 1: repeats, needs no bucket; 2: repeats, and shows others
-            known[first[times > 1]] = 2
+            each, first, of, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            shown = sent[np.minimum(np.searchsorted(sent, each), len(sent) - 1)] == each if len(sent) else np.zeros(len(each), bool)
+            known = np.where((times > 1) | shown, 1, 0).astype(np.uint8)[of]  # 1: repeats, needs no bucket; 2: repeats, and shows others
+            new = (times > 1) & ~shown
+            known[first[new]] = 2
+            sent = np.sort(np.concatenate([sent, each[new][: REMEMBERED - len(sent)]]))
             bucket = np.where(known == 1, mix(h + at.astype(U64)), h) % U64(buckets)
             yield _dealt(bucket.astype(np.int64), [h, doc.astype(np.int64), at - np.concatenate([[0], ends])[text], known], names)
 
@@ -283,11 +291,28 @@ def settled(raw: bytes, start: np.ndarray, size: np.ndarray, before: np.ndarray,
     return done
 
 
+class _Sent(dict):
+    """The earliest place of each context that a task has sent, by its bytes and where its anchor stands in it."""
+
+    def later(self, raw: bytes, start: np.ndarray, size: np.ndarray, before: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which contexts are equal in full to one that was sent and stands earlier; the others are remembered."""
+        out = np.zeros(len(start), bool)
+        for i, (a, s, b, place) in enumerate(zip(start.tolist(), size.tolist(), before.tolist(), zip(doc.tolist(), at.tolist(), strict=True), strict=True)):
+            key = (raw[a : a + s], b)
+            found = self.get(key)
+            if found is not None and found < place:
+                out[i] = True
+            elif found is not None or len(self) < REMEMBERED:
+                self[key] = place
+        return out
+
+
 def _removed(docs: DataFrame, repeating: DataFrame, buckets: int, parts: int) -> DataFrame:
     """doc_id, a, b: the removed runs, which may overlap."""
     names, kinds = ["doc", "at", "before", "n", "done"], [np.int64, np.int64, np.int64, np.int64, np.uint8]
 
     def contexts(batches):
+        sent = _Sent()
         for batch, data, ends in _texts(batches):
             h, at, low, high = anchors(data, ends)
             text = np.searchsorted(ends, at, "right")
@@ -299,7 +324,11 @@ def _removed(docs: DataFrame, repeating: DataFrame, buckets: int, parts: int) ->
             h, at, low, high, text, starts = (x[keep] for x in (h, at, low, high, text, starts))
             doc = np.asarray(batch.column(0)).astype(np.int64)[text]
             size = high - low + LENGTH
-            done = settled(data.tobytes(), low, size, at - low, doc, at - starts).astype(np.uint8)
+            raw = data.tobytes()
+            done = settled(raw, low, size, at - low, doc, at - starts)
+            left = np.flatnonzero(~done)
+            done[left] = sent.later(raw, low[left], size[left], (at - low)[left], doc[left], (at - starts)[left])
+            done = done.astype(np.uint8)
             bucket = np.where(done == 1, mix(h + at.astype(U64)), h) % U64(buckets)
             kept = np.where(done == 1, 0, size)
             yield _dealt(bucket.astype(np.int64), [doc, at - starts, at - low, high - low + 1, done], names, (data, low, kept))
@@ -338,10 +367,23 @@ def united(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[new], b[np.append(np.flatnonzero(new)[1:] - 1, len(b) - 1)]
 
 
+def _numbered(own: DataFrame) -> DataFrame:
+    """suffix_dedup where rows share ids: each row gets a number of its own, in the order of doc_id and of its text's hash."""
+    parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = own.withColumn("h", F.xxhash64("text")).withColumn("tie", F.monotonically_increasing_id())
+    ordered = spread.repartitionByRange(parts, "doc_id", "h", "tie").sortWithinPartitions("doc_id", "h", "tie")
+    # Partitions are ranges in order, so these numbers are, too.
+    rows = written(ordered.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
+    found = suffix_dedup(rows.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row")
+    return rows.select("row", "doc_id").join(found, "row").drop("row")
+
+
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, kept binary, spans array<struct<a,b>>: the bytes that stay, and the maximal removed runs."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    if own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        return _numbered(own)
     total = own.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     repeating = written(_repeating(own, max(4 * parts, -(-total // BUCKET_BYTES)), parts), "anchors")

@@ -75,6 +75,45 @@ def test_a_hot_group_of_near_copies_is_one_class(spark):
     assert {r.class_id for r in got} == {0} and {r.n_links for r in got} == {119}
 
 
+def test_prefixes_are_shortened_only_where_the_recall_asks_for_it(spark):
+    """Close copies are done at the full depth; a corpus of pairs near the threshold goes down."""
+    own = random.Random(8)
+    close, far = [], []
+    for _ in range(40):
+        w = [own.choice(VOCAB) + str(own.randrange(50)) for _ in range(100)]
+        close += [w, [*w[:99], "other"]]
+        far += [w, [*w[:90], *(f"other{own.random()}" for _ in range(10))]]  # 86 of 106 shingles
+    for texts, depths in ((close, [5]), (far, [5, 4])):
+        df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+        found = jaccard_join._Found(df, 0.8, 0.9999, 5, 512, 2_000_000)
+        assert found.depths == depths
+        got = {r.doc_id: r.class_id for r in jaccard_join.jaccard_join(df).collect()}
+        assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
+def test_rows_without_or_with_shared_ids_are_documents_too(spark):
+    base = prose(60)
+    near = base.rsplit(" ", 1)[0] + " other"
+    other, words = prose(60), prose(40)
+    rows = [(1, other, "a"), (1, near, "b"), (2, base, "c"), (3, words, "d"), (3, words, "d"), (None, words, "e"), (None, prose(30), "f"), (None, None, "g"), (7, "", "h"), (7, "", "h")]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, _gone string, _key int").repartition(3)
+    got = sorted((r.doc_id, r.class_id, r.n_links, r.n_texts) for r in jaccard_join.jaccard_join(df).collect())
+    assert got == [(1, 1, 0, 0), (1, 1, 1, 1), (2, 1, 1, 1), (3, 3, 2, 0), (3, 3, 2, 0), (7, 7, 0, 0), (7, 7, 0, 0)]
+    kept = jaccard_join.deduplicated(df)
+    assert kept.columns == df.columns
+    assert sorted(r["_gone"] for r in kept.collect()) == ["a", "b", "d", "f", "g", "h", "h"]
+
+
+def test_decontamination_of_clashing_names_and_rows_without_ids(spark):
+    item, free = prose(30), prose(50)
+    rows = [(1, item + " and more", "a"), (1, free, "b"), (None, "so " + item, "c"), (None, None, "d"), (2, item, "e")]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, _found string, _row int, _gone int, item_id int")
+    bench = spark.createDataFrame([(5, item, 0)], "item_id long, text string, doc_id int")
+    for block in (decontamination.BLOCK, 5):
+        kept = decontamination.clean(df, bench.unionByName(bench.withColumn("item_id", F.lit(6))), block=block)
+        assert kept.columns == df.columns and sorted(r["_found"] for r in kept.collect()) == ["b", "d"]
+
+
 def test_containment(spark, docs, rows):
     base = [t for _, t, *_ in rows[:4]]
     items = [(1, base[0]), (2, prose(20)), (3, None), (4, ""), (5, "one two"), (6, " ".join(base[1].split()[:12]).upper()), (6, "zzz"), (None, base[2])]
@@ -114,6 +153,16 @@ def test_suffix_dedup_of_periodic_and_overlapping_texts(spark):
     assert got == want
 
 
+def test_suffix_dedup_of_rows_that_share_an_id(spark):
+    own = random.Random(9)
+    text = lambda n: "".join(own.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    shared, alone = text(300), text(400)
+    rows = [(1, "A" * 400), (1, alone), (1, shared), (2, shared + text(20)), (2, shared), (2, shared), (3, None)]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, row int").repartition(3)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.digests(suffix_dedup.suffix_dedup(df)).collect())
+    assert got == [(1, 300, 0), (1, 400, 0), (1, 400, 399), (2, 300, 300), (2, 300, 300), (2, 320, 300), (3, 0, 0)]
+
+
 def test_id_files(spark, docs, rows, tmp_path):
     from tokenizers import Tokenizer
 
@@ -255,3 +304,21 @@ def test_pipeline(spark, docs, rows, tmp_path):
     assert 2001 not in got and sum(i in got for i, *_ in bad) <= 3
     assert 0 in got and not {30, 38} & set(got)  # a near copy and a copy of document 0
     assert all(r.n_tokens == len(r.ids) for r in got.values())
+
+
+def test_pipeline_of_odd_rows_and_of_nothing(spark, tmp_path):
+    """Clashing names keep their values, null ids and texts go through, and empty tables give an empty result."""
+    import corpus_pipeline
+
+    schema = SCHEMA + ", score string, _before int, _gone int, _found int, _row int, _key int, ids string"
+    item = prose(20)
+    odd = [(1, prose(40)), (None, prose(30)), (None, None), (2, ""), (3, "see " + item), (4, "token=abcdef123456 " + prose(20)), (4, prose(25))]
+    for name, rows in (("full", odd), ("none", [])):
+        folder = tmp_path / name
+        spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", 7, 8, 9, 10, 11, "old") for i, t in rows], schema).write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+        spark.createDataFrame([(1, item)] if rows else [], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+        got = corpus_pipeline.run(spark, str(folder)).collect()
+        assert len(got) == (len(odd) - 1 if rows else 0)
+        assert all((r.score, r["_before"], r["_gone"], r["_found"], r["_row"], r["_key"]) == ("x", 7, 8, 9, 10, 11) and r.n_tokens == len(r.ids) for r in got)
+        assert sum(r.text is None for r in got) == (1 if rows else 0)

@@ -246,14 +246,68 @@ def test_quality(spark, docs, rows):
     assert {r.score for r in quality.score(docs, none).collect()} == {0.5}
 
 
+def brute_pll(model, texts):
+    """Each text's sum, word by word: the network's forward pass as a loop, and the windows of all texts counted in a dict."""
+    split = [(t or "").lower().split() for t in texts]
+    kept, between = {}, {}
+    for i, w in enumerate(split):
+        for j, x in enumerate(w):
+            pair = (w[j - 1] if j else None, w[j + 1] if j + 1 < len(w) else None)
+            between.setdefault(pair, Counter())[x] += 1
+    hashed = lambda x: np.array([0 if x is None else lm_score.WordHashes()[x]], np.uint64)
+    out = []
+    for w in split:
+        total = 0.0
+        for j, x in enumerate(w):
+            pair = (w[j - 1] if j else None, w[j + 1] if j + 1 < len(w) else None)
+            bucket, left, right = ([lm_score.buckets([y])[0][0] if y else None for y in (x, *pair)])
+            of = lambda b: 0 if b is None else int(model.classes[b])
+            p = np.exp(float(model.window[(of(left) * lm_score.CLASSES + of(right)) * lm_score.CLASSES + of(bucket)]) + float(model.word[bucket]))
+            if pair not in kept:
+                kept[pair] = int(lm_score.mix(lm_score.mix(hashed(pair[0])) * np.uint64(3) ^ hashed(pair[1]))[0]) % lm_score.MEMORY == 0
+            if kept[pair] and sum(between[pair].values()) > 1:
+                others = between[pair] - Counter([x])
+                c = sum(others.values())
+                p = (max(others[x] - lm_score.DISCOUNT, 0) + lm_score.DISCOUNT * len(others) * p) / c
+            total += np.log(p)
+        out.append(total)
+    return out
+
+
 def test_lm_score(docs, rows):
     model = lm_score.fit(docs)
-    got = {r.doc_id: r for r in lm_score.score(docs.withColumn("pll", F.lit(0)), model).collect()}
-    for i, t, *_ in rows:
+    got = {r.doc_id: r for r in lm_score.score(docs.withColumn("pll", F.lit(0)).withColumn("_told", F.lit(1)).withColumn("_KEY", F.lit(2)), model).collect()}
+    for (i, t, *_), want in zip(rows, brute_pll(model, [t for _, t, *_ in rows]), strict=True):
         n = len((t or "").split())
-        each, _ = model.each([t or ""])
-        assert got[i].n_tokens == n and got[i].pll == pytest.approx(each.sum(), abs=1e-6)
-        assert got[i].mean_logp == (pytest.approx(each.mean()) if n else None)
+        assert got[i].n_tokens == n and got[i].pll == pytest.approx(want, rel=1e-5, abs=1e-6) and (got[i]["_told"], got[i]["_KEY"]) == (1, 2)
+        assert got[i].mean_logp == (pytest.approx(want / n, rel=1e-5) if n else None)
+
+
+def test_lm_score_beats_unigrams_on_texts_it_has_not_seen(spark):
+    """Likelihood of held-out texts of a chain of words, against counts of single words with the same smoothing."""
+    own = random.Random(12)
+    follow = {w: own.sample(VOCAB[:150], 4) for w in VOCAB[:150]}
+
+    def text(n):
+        w = [own.choice(VOCAB[:150])]
+        while len(w) < n:
+            w.append(own.choice(follow[w[-1]]))
+        return " ".join(w)
+
+    train, test = [text(200) for _ in range(150)], [text(200) for _ in range(20)]
+    frame = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.mean_logp for r in lm_score.score(frame(test), lm_score.fit(frame(train)), masked=False).collect()]
+    counts = Counter(" ".join(train).split())
+    total = sum(counts.values()) + 400
+    unigram = np.mean([np.log((counts[w] + 1) / total) for t in test for w in t.split()])
+    assert np.mean(got) > unigram + 0.5
+
+
+def test_lm_score_tells_repeated_documents_apart(spark):
+    texts = [" ".join(f"{rng.choice(VOCAB)}{rng.randrange(9)}" for _ in range(120)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate([*texts, *texts[:10]])), "doc_id long, text string")
+    got = {r.doc_id: r.mean_logp for r in lm_score.score(df, lm_score.fit(df)).collect()}
+    assert min(got[i] for i in range(10)) > max(got[i] for i in range(10, 60)) and got[3] == pytest.approx(got[63])
 
 
 def test_token_counts(docs, rows):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column
@@ -28,28 +31,32 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(A.WORD), F.lit(0))
 
 
-def rejoined(text: Column) -> Column:
-    """words(), with spaced prefixes and suffixes joined to their host by a half-space.
-
-    Each word comes with the gap before it; a fold over the pieces then decides as it goes, for a host may have grown.
-    """
-    pieces = F.regexp_extract_all(text, F.lit(f"[^\\p{{L}}\\p{{N}}\\p{{M}}\\x{{200C}}]*{A.WORD}"), F.lit(0))
-    last = F.try_element_at
+# Two characters that stand for gaps: one that may have been a half-space, and any other.
+_NEAR, _FAR = "\x01", "\x02"
+_IN = f"[^{_NEAR}{_FAR}]"
+_END = f"(?=[{_NEAR}{_FAR}]|$)"
+#: What rejoins a text whose gaps are marked: (pattern, replacement), each in one pass from left to right.
+_REJOIN = (
+    # After a word of another script, a gap is none.
+    (f"(?<!{_IN})((?:(?!{A.ARABIC}){_IN})+){_NEAR}", f"$1{_FAR}"),
+    # A prefix takes the next word of two letters or more; that word is then no prefix of its own.
+    (f"(?<!{_IN})({'|'.join(PREFIXES)}){_NEAR}(?={_IN}*{A.ARABIC})({_IN}{{2,}})", f"$1{A.ZWNJ}$2"),
+    (f"{_NEAR}({'|'.join(SUFFIXES)}|(?<=[{VOWELS}]{_NEAR})(?:{'|'.join(VOWEL_SUFFIXES)})){_END}", f"{A.ZWNJ}$1"),
+)
 
-    def step(done: Column, piece: Column) -> Column:
-        word = F.regexp_extract(piece, A.WORD, 0)
-        gap = F.regexp_extract(piece, "^[^\\p{L}\\p{N}\\p{M}\\x{200C}]*", 0)
-        host = last(done, F.lit(-1))
-        near = (F.size(done) > 0) & gap.rlike(f"(?U)^{_GAP}$") & host.rlike(A.ARABIC) & word.rlike(A.ARABIC)
-        suffix = word.isin(*SUFFIXES) | (word.isin(*VOWEL_SUFFIXES) & F.substring(host, -1, 1).isin(*VOWELS))
-        join = near & ((host.isin(*PREFIXES) & (F.length(word) >= 2)) | suffix)
-        grown = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(host, F.lit(A.ZWNJ), word)))
-        return F.when(F.coalesce(join, F.lit(False)), grown).otherwise(F.concat(done, F.array(word)))
 
-    folded = F.aggregate(pieces, F.array().cast("array<string>"), step)
-    # Text without a candidate takes the path that stays within one expression.
-    some = text.rlike("(^|[^\\p{L}\\p{N}\\p{M}\\x{200C}])(ن?می|" + "|".join((*SUFFIXES, *VOWEL_SUFFIXES)) + ")([^\\p{L}\\p{N}\\p{M}\\x{200C}]|$)")
-    return F.when(some, folded).otherwise(words(text))
+def rejoined(text: Column) -> Column:
+    """words(), with spaced prefixes and suffixes joined to their host by a half-space; linear in the text's length."""
+    inner = "\\p{L}\\p{N}\\p{M}\\x{200C}"
+    marked = F.translate(text, _NEAR, _FAR)
+    marked = F.regexp_replace(marked, f"(?U)(?<=[{inner}]){_GAP}(?=[{inner}])", _NEAR)
+    marked = F.regexp_replace(marked, f"[^{inner}{_NEAR}]+", _FAR)
+    for pattern, to in _REJOIN:
+        marked = F.regexp_replace(marked, pattern, to)
+    joined = F.filter(F.split(marked, f"[{_NEAR}{_FAR}]"), lambda w: w != "")
+    # Text without a candidate takes the path that needs one pattern only.
+    some = text.rlike(f"(^|[^{inner}])(" + "|".join((*PREFIXES, *SUFFIXES, *VOWEL_SUFFIXES)) + f")([^{inner}]|$)")
+    return F.when(some, joined).otherwise(words(text))
 
 
 def tokens(text: Column, hamza_yeh: bool = True, rejoin: bool = True) -> Column:
@@ -61,18 +68,19 @@ def tokens(text: Column, hamza_yeh: bool = True, rejoin: bool = True) -> Column:
 def tokens_of(text: str, hamza_yeh: bool = True, rejoin: bool = True) -> list[tuple[str, int, int]]:
     """(token, start, end) with code-point offsets into the original text."""
     n, spans = with_offsets(text, hamza_yeh)
-    out: list[list] = []
-    for m in _WORD.finditer(n):
-        word = m[0]
-        if rejoin and out:
-            host, _, end = out[-1]
-            if _SPACES.fullmatch(n[end : m.start()]) and _ARABIC.search(host) and _ARABIC.search(word):
-                suffix = word in SUFFIXES or (word in VOWEL_SUFFIXES and host[-1] in VOWELS)
-                if suffix or (host in PREFIXES and len(word) >= 2):
-                    out[-1][0], out[-1][2] = host + A.ZWNJ + word, m.end()
-                    continue
-        out.append([word, m.start(), m.end()])
-    return [(t, spans[a][0], spans[b - 1][1]) for t, a, b in out]
+    found = [m.span() for m in _WORD.finditer(n)]
+    # Which words go to the one before them. A prefix that itself went to one takes nothing.
+    goes = [False] * len(found)
+    for i, ((a, b), (c, d)) in enumerate(zip(found, found[1:], strict=False), 1) if rejoin else ():
+        host, word = n[a:b], n[c:d]
+        if _SPACES.fullmatch(n, b, c) and _ARABIC.search(host) and _ARABIC.search(word):
+            goes[i] = word in SUFFIXES or (word in VOWEL_SUFFIXES and host[-1] in VOWELS) or (host in PREFIXES and d - c >= 2 and not goes[i - 1])
+    groups = np.cumsum(~np.array(goes, bool)).tolist()
+    out = []
+    for _, run in itertools.groupby(zip(groups, found, strict=True), key=lambda x: x[0]):
+        members = [span for _, span in run]
+        out.append((A.ZWNJ.join(n[a:b] for a, b in members), spans[members[0][0]][0], spans[members[-1][1] - 1][1]))
+    return out
 
 
 @pandas_udf(T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))

@@ -198,8 +198,7 @@ def canonical_key_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def analyzed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of all documents moved to Persian letters, by the standard profile, with their frequencies."""
-    terms = Analyzer().analyze(bridge(F.col("text")))
-    return search.vocabulary(_read(spark, sf_dir, "documents", "text"), terms, 1)
+    return Analyzer().vocabulary(_read(spark, sf_dir, "documents", "text"), bridge(F.col("text")))
 
 
 _FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({0}, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,15 +40,27 @@ def paired(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     return left.join(right, on, "left").withColumn("rank_b", F.coalesce("rank_b", F.lit(0)))
 
 
+def _log_factorial(n: Column) -> Column:
+    """ln n!, exactly up to 20 and by Stirling's series beyond (to 1e-13)."""
+    x = n.cast("double")
+    series = x * F.log(x) - x + F.log(2 * F.lit(math.pi) * x) / 2 + 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3))) + 1 / (1260 * F.pow(x, F.lit(5)))
+    return F.when(n <= 20, F.log(F.factorial(F.least(n, F.lit(20)).cast("int")).cast("double"))).otherwise(series)
+
+
 def _log_choose_tail(n: Column, k: Column) -> Column:
-    """sum over i <= k of C(n, i) / 2**n."""
+    """sum over i <= k of C(n, i) / 2**n for k <= n / 2: the largest term, times a falling series.
+
+    Its j-th member is below exp(-2 j**2 / n), so about five roots of n are all that a double can tell.
+    """
+    largest = F.exp(_log_factorial(n) - _log_factorial(k) - _log_factorial(n - k) - n * F.log(F.lit(2.0)))
+    upto = F.least(k, F.ceil(5 * F.sqrt(n)) + 50).cast("int")
 
-    def step(acc: Column, i: Column) -> Column:
-        term = F.when(i == 0, F.lit(0.0)).otherwise(acc["log"] + F.log((n - i + 1) / F.greatest(i, F.lit(1))))
-        return F.struct(term.alias("log"), (acc["sum"] + F.exp(term - n * F.log(F.lit(2.0)))).alias("sum"))
+    def step(acc: Column, j: Column) -> Column:
+        term = acc["term"] * (k - j + 1) / (n - k + j)
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
 
-    start = F.struct(F.lit(0.0).alias("log"), F.lit(0.0).alias("sum"))
-    return F.aggregate(F.sequence(F.lit(0), k.cast("int")), start, step)["sum"]
+    places = F.when(upto >= 1, F.sequence(F.lit(1), F.greatest(upto, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return largest * F.aggregate(places, F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")), step)["sum"]
 
 
 def mcnemar(pairs: DataFrame, *by: str) -> DataFrame:
@@ -139,11 +152,16 @@ def dominant(rows: DataFrame, key: str, target: str, share: float = 0.9) -> Data
 
 
 def nearest_rank(rows: DataFrame, value: str, p: float, *by: str, inner: bool = False) -> DataFrame:
-    """The value at floor(p * n) of the sorted ones, or at floor(p * (n - 1)) with inner."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
+    """The value at floor(p * n) of the sorted ones, or at floor(p * (n - 1)) with inner.
+
+    Equal values are counted first, so a window runs over distinct values, not over rows.
+    """
+    counts = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    n = F.sum("_n").over(Window.partitionBy(*by))
     at = F.floor((n - 1) * p) if inner else F.least(F.floor(n * p), n - 1)
-    row = F.row_number().over(Window.partitionBy(*by).orderBy(value))
-    return rows.withColumn("_at", at).withColumn("_row", row).where("_row = _at + 1").select(*by, F.col(value).alias("value"))
+    placed = counts.select(*by, F.col(value).alias("value"), upto.alias("_upto"), (upto - F.col("_n")).alias("_from"), at.alias("_at"))
+    return placed.where("_from <= _at and _at < _upto").select(*by, "value")
 
 
 def conflation(entries: DataFrame, lemma: str, term: str, form: str) -> DataFrame:
@@ -166,8 +184,10 @@ def conflation(entries: DataFrame, lemma: str, term: str, form: str) -> DataFram
 def collisions(words: DataFrame, word: str, before: Column, after: Column, n: str) -> DataFrame:
     """Keys that forms with different keys before share after: key, forms, weight (the second most frequent's count)."""
     keyed = words.select(after.alias("key"), before.alias("form"), F.col(n).alias("n")).groupBy("key", "form").agg(F.sum("n").alias("n"))
-    groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("forms"), F.sort_array(F.collect_list("n"), asc=False).alias("counts"))
-    return groups.where("forms >= 2").select("key", "forms", F.col("counts")[1].alias("weight"))
+    # The two largest: the largest one's form, then the largest of the others.
+    largest = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("forms"), F.max(F.struct("n", "form")).alias("top")).where("forms >= 2")
+    others = keyed.join(largest, "key").where(F.col("form") != F.col("top.form"))
+    return others.groupBy("key", "forms").agg(F.max("n").alias("weight"))
 
 
 def fingerprint(rows: DataFrame, *columns: str) -> DataFrame:
@@ -184,3 +204,64 @@ def max_window(rows: DataFrame, hit: Column, size: int, order: str, *by: str) ->
     scored = rows.withColumn("_hits", F.sum(F.when(hit, 1).otherwise(0)).over(ahead))
     best = scored.groupBy(*by).agg(F.min(F.struct((-F.col("_hits")).alias("h"), F.col(order).alias("at"))).alias("best"))
     return best.select(*by, F.col("best.at").alias("at"), (-F.col("best.h")).alias("hits"))
+
+
+def cell_means(cells: DataFrame, value: str, row: str, column: str) -> DataFrame:
+    """row, mean: the mean over a row's cells of each cell's mean, so every cell counts alike whatever its size."""
+    return cells.groupBy(row, column).agg(F.avg(value).alias("m")).groupBy(row).agg(F.avg("m").alias("mean"), F.count(F.lit(1)).alias("cells"))
+
+
+def families(entries: DataFrame, lemma: str, term: str) -> DataFrame:
+    """lemma, forms, terms, whole: how many terms a lemma's forms fall into, and whether into one."""
+    return entries.groupBy(lemma).agg(F.count(F.lit(1)).alias("forms"), F.countDistinct(term).alias("terms")).withColumn("whole", F.col("terms") == 1)
+
+
+def fixed_broken(pairs: DataFrame, *by: str) -> DataFrame:
+    """fixed, broken, net of paired ranks: found now and not before, and the other way (G23). pairs: rank_a (before), rank_b."""
+    a, b = F.col("rank_a") > 0, F.col("rank_b") > 0
+    counts = pairs.groupBy(*by).agg(F.count_if(~a & b).alias("fixed"), F.count_if(a & ~b).alias("broken"))
+    return counts.withColumn("net", F.col("fixed") - F.col("broken"))
+
+
+def join_precision(joins: DataFrame, *by: str) -> DataFrame:
+    """right, made, wanted, precision, recall of joins(made, wanted: booleans): rejoined words against a treebank's."""
+    made, wanted = F.col("made"), F.col("wanted")
+    t = joins.groupBy(*by).agg(F.count_if(made & wanted).alias("right"), F.count_if(made).alias("made"), F.count_if(wanted).alias("wanted"))
+    return t.withColumns({"precision": F.when(F.col("made") > 0, F.col("right") / F.col("made")), "recall": F.when(F.col("wanted") > 0, F.col("right") / F.col("wanted"))})
+
+
+def notice_rates(queries: DataFrame, *by: str) -> DataFrame:
+    """n, noticed, helped, harmed of queries(rank, fixed_rank: null where no fix was offered): rates of fixes shown.
+
+    noticed: a fix was offered; helped: it finds a target that was missed; harmed: it loses one that was found.
+    """
+    offered, before, after = F.col("fixed_rank").isNotNull(), F.col("rank") > 0, F.coalesce(F.col("fixed_rank"), F.lit(0)) > 0
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    return queries.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), share(offered).alias("noticed"), share(offered & ~before & after).alias("helped"), share(offered & before & ~after).alias("harmed"))
+
+
+def one_click(queries: DataFrame, *by: str) -> DataFrame:
+    """n, reached: the share of queries whose target is among the results as typed or behind the one fix offered."""
+    hit = (F.col("rank") > 0) | (F.coalesce(F.col("fixed_rank"), F.lit(0)) > 0)
+    return queries.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(hit, 1.0).otherwise(0.0)).alias("reached"))
+
+
+def excerpt_rates(excerpts: DataFrame, text: str, *by: str) -> DataFrame:
+    """n, marked, mean_marks, words of excerpts with <mark> around hits: how many show one, and how many."""
+    marks = F.size(F.regexp_extract_all(text, F.lit("<mark>"), F.lit(0)))
+    words = F.size(F.regexp_extract_all(text, F.lit("\\S+"), F.lit(0)))
+    return excerpts.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(marks > 0, 1.0).otherwise(0.0)).alias("marked"), F.avg(marks).alias("mean_marks"), F.sum(words).alias("words"))
+
+
+def wrong_merges(entries: DataFrame, lemma: str, term: str) -> DataFrame:
+    """term, lemmas, pairs: terms that forms of different lemmas share, and how many pairs of lemmas that merges."""
+    groups = entries.select(lemma, term).distinct().groupBy(term).agg(F.count(F.lit(1)).alias("lemmas")).where("lemmas >= 2")
+    return groups.select(term, "lemmas", (F.col("lemmas") * (F.col("lemmas") - 1) / 2).cast("long").alias("pairs"))
+
+
+def pair_metrics(pairs: DataFrame, gold: str, said: str, *by: str) -> DataFrame:
+    """precision, recall, f1 of yes-or-no decisions against gold (Q13)."""
+    g, x = F.col(gold), F.col(said)
+    t = pairs.groupBy(*by).agg(F.count_if(g & x).alias("tp"), F.count_if(~g & x).alias("fp"), F.count_if(g & ~x).alias("fn"))
+    p, r = F.col("tp") / (F.col("tp") + F.col("fp")), F.col("tp") / (F.col("tp") + F.col("fn"))
+    return t.withColumns({"precision": p, "recall": r}).withColumn("f1", 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))

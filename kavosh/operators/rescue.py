@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
+from kavosh.functions.alphabet import PERSIAN_LETTER
+from kavosh.functions.analyzer import Analyzer
 from kavosh.functions.distance import is_persian, piece_key, pieces_for, reach, weighted_distance, word_key
 from kavosh.functions.keyboard import LAYOUTS, layout_candidates
+from kavosh.functions.tokens import tokens_with_offsets
+from kavosh.sources.shared import written
 
 
 def word_list(docs: DataFrame, tokens: Column) -> DataFrame:
@@ -38,19 +47,42 @@ def spell(words: DataFrame, keys: DataFrame, rare: bool = False) -> DataFrame:
     return best.select("key", F.col("spelling").alias("fix"), "count", (F.col("count") / (F.col("own") if rare else F.lit(1))).alias("ratio"), "cost")
 
 
-def layout_fixes(runs: DataFrame, known: DataFrame) -> DataFrame:
-    """query_id, layout, score of the layout that makes most runs known; earlier layouts win ties.
+def index_terms(docs: DataFrame, text: Column, analyzer: Analyzer | None = None) -> DataFrame:
+    """term: all terms that a document's text is found by. What `check` takes for known."""
+    return (analyzer or Analyzer()).vocabulary(docs, text).select(F.col("token").alias("term"))
 
-    runs: query_id, run; known: term. A long run (three letters) counts 1, a short one 0.1; at least 1 is asked.
+
+def known_words(words: DataFrame, known: DataFrame, analyzer: Analyzer) -> DataFrame:
+    """word: those of words(word) that have terms, all of which are known."""
+    each = words.select("word").distinct().select("word", F.explode(analyzer.query_terms(F.col("word"))).alias("term"))
+    seen = each.join(known.select("term", F.lit(True).alias("there")).distinct(), "term", "left")
+    return seen.groupBy("word").agg(F.bool_and(F.coalesce("there", F.lit(False))).alias("all")).where("all").select("word")
+
+
+_RUN = T.ArrayType(T.StructType([T.StructField("run", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+
+
+@pandas_udf(_RUN)
+def _runs(query: pd.Series) -> pd.Series:
+    return query.map(lambda q: [{"run": m[0], "start": m.start(), "end": m.end()} for m in re.finditer(r"\S+", q or "")])
+
+
+def layout_fixes(runs: DataFrame, known: DataFrame, analyzer: Analyzer) -> DataFrame:
+    """query_id, start, end, text: the runs' words on the layout that makes most of them known; earlier layouts win ties.
+
+    runs: query_id, run, start, end, long. On a layout a run becomes its first candidate that is known. A long run counts
+    1, a short one 0.1, and a layout has to reach 1.
     """
-    names = list(LAYOUTS)
-    each = F.array(*(F.struct(F.lit(i).alias("turn"), F.lit(n).alias("layout"), layout_candidates(F.col("run"), n).alias("found")) for i, n in enumerate(names)))
-    tried = runs.select("query_id", "run", F.explode(each).alias("x")).select("query_id", "run", "x.turn", "x.layout", F.explode("x.found").alias("term"))
-    hits = tried.join(known.select("term").distinct(), "term").groupBy("query_id", "turn", "layout", "run").agg(F.min("term").alias("fix"))
-    score = F.sum(F.when(F.length("run") >= 3, 1.0).otherwise(0.1))
-    scored = hits.groupBy("query_id", "turn", "layout").agg(score.alias("score"), F.map_from_entries(F.collect_list(F.struct("run", "fix"))).alias("fixes")).where("score >= 1")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "turn")
-    return scored.withColumn("n", F.row_number().over(order)).where("n = 1").select("query_id", "layout", "score", "fixes")
+    each = F.array(*(F.struct(F.lit(i).alias("turn"), layout_candidates(F.col("run"), name).alias("found")) for i, name in enumerate(LAYOUTS)))
+    tried = runs.select("*", F.explode(each).alias("x")).select("query_id", "run", "start", "end", "long", "x.turn", F.posexplode("x.found").alias("at", "word")).where("word <> run")
+    tried = written(tried, "tried")
+    good = tried.join(known_words(tried, known, analyzer), "word")
+    first = good.groupBy("query_id", "start", "end", "long", "turn").agg(F.min(F.struct("at", "word")).alias("x"))
+    score = F.sum(F.when(F.col("long"), 1.0).otherwise(0.1))
+    edits = F.collect_list(F.struct("start", "end", F.col("x.word").alias("text")))
+    layouts = first.groupBy("query_id", "turn").agg(F.round(score, 6).alias("score"), edits.alias("edits")).where("score >= 1")
+    best = layouts.groupBy("query_id").agg(F.max_by("edits", F.struct("score", -F.col("turn"))).alias("edits"))
+    return best.select("query_id", F.inline("edits"))
 
 
 def known_queries(queries: DataFrame, known: DataFrame) -> DataFrame:
@@ -60,34 +92,116 @@ def known_queries(queries: DataFrame, known: DataFrame) -> DataFrame:
     return seen.groupBy("query_id").agg(F.bool_and(F.coalesce("there", F.lit(False))).alias("known"))
 
 
-def check(queries: DataFrame, known: DataFrame, words: DataFrame) -> DataFrame:
-    """query_id, query, fixed, auto of weak queries that can be mended.
+def _overlapping(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+    """Rows of a that overlap one of b in the same query (left_semi), or none (left_anti)."""
+    other = b.select(F.col("query_id").alias("_q"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+    return a.join(other, (F.col("query_id") == F.col("_q")) & (F.col("start") < F.col("_e")) & (F.col("end") > F.col("_s")), how)
+
 
-    queries: query_id, query (raw), found (how many results it had). A run of the raw text that no index term knows is
-    tried on the other layouts first; what stays unknown is spelled by the word list. Keyboard fixes, and any fix of a
-    query without results, apply by themselves.
+def check(queries: DataFrame, known: DataFrame, words: DataFrame, analyzer: Analyzer | None = None) -> DataFrame:
+    """query_id, query, fixed, auto, pieces of weak queries that can be mended.
+
+    queries: query_id, query (raw), found (how many results it had); known: term (index_terms); words: a word_list. A query
+    is weak if nothing was found or if it has a token that the index doesn't know.
+    1. Keyboard: runs between white space that hold an unknown token, or marks among Latin keys, are tried on the other
+       layouts, one layout for the whole query. Latin runs of two keys and Persian ones of two letters prove nothing alone.
+    2. Spelling: other unknown tokens become their nearest word of the list, if the index knows it.
+    3. Suspects: where nothing was found and nothing else helps, one token that the list has becomes a near word that is at
+       least ten times as common, the one with the largest ratio (the first of equals).
+    Fixes are spliced into the query as typed. auto: search the fixed query instead (nothing was found, or all fixes are of
+    the keyboard); else it is a suggestion. pieces: the parts of the word list that were looked at, in order.
+    """
+    analyzer = analyzer or Analyzer()
+    base = queries.select("query_id", "query", "found")
+    spans = written(base.select("query_id", F.explode(tokens_with_offsets("query")).alias("t")).select("query_id", "t.text", "t.start", "t.end"), "spans")
+    good = known_words(spans.select(F.col("text").alias("word")), known, analyzer).select("word", F.lit(True).alias("good"))
+    spans = written(spans.join(good, F.col("text") == F.col("word"), "left").select("query_id", "text", "start", "end", F.coalesce("good", F.lit(False)).alias("good")), "spans")
+    unknown = spans.where("not good")
+    weak = base.join(unknown.select("query_id").distinct().withColumn("any", F.lit(True)), "query_id", "left").where("found = 0 or any").drop("any")
+
+    latin, inner = F.col("run").rlike("^[!-~]*[A-Za-z][!-~]*$"), F.col("run").rlike("^.+[^A-Za-z0-9].*.$") & F.expr("substring(run, 2, length(run) - 2)").rlike("[^A-Za-z0-9]")
+    runs = weak.select("query_id", F.explode(_runs("query")).alias("r")).select("query_id", "r.run", "r.start", "r.end").withColumns({"latin": latin, "odd": latin & inner})
+    held = _overlapping(runs.where("not odd"), unknown, "left_semi").unionByName(runs.where("odd"))
+    size = F.length("run")
+    tried = held.where(F.col("latin") | (F.col("run").rlike(PERSIAN_LETTER) & (size >= 3)))
+    tried = tried.withColumn("long", ~F.col("latin") | (size >= 3) | F.col("run").rlike("[^A-Za-z0-9]"))
+    typed = written(layout_fixes(written(tried, "runs"), known, analyzer).withColumn("kind", F.lit("keyboard")), "typed")
+
+    open_ = _overlapping(spans.join(weak.select("query_id"), "query_id"), typed, "left_anti").withColumn("key", word_key(F.col("text"))).where(is_persian(F.col("key")) & (reach(F.length("key")) > 0))
+    open_ = written(open_, "open")
+    missing = open_.where("not good")
+    near = written(spell(words, missing.select("key")), "near")
+    sure = known_words(near.select(F.col("fix").alias("word")), known, analyzer)
+    spelled = missing.join(near.join(sure, F.col("fix") == F.col("word"), "left_semi"), "key").select("query_id", "start", "end", F.col("fix").alias("text"), F.lit("spelling").alias("kind"))
+    edits = written(typed.unionByName(spelled), "edits")
+
+    left = weak.where("found = 0").select("query_id").join(edits.select("query_id").distinct(), "query_id", "left_anti")
+    doubted = open_.join(left, "query_id")
+    common = written(spell(words, doubted.select("key"), rare=True), "common")
+    surely = known_words(common.select(F.col("fix").alias("word")), known, analyzer)
+    picked = doubted.join(common.join(surely, F.col("fix") == F.col("word"), "left_semi"), "key").groupBy("query_id").agg(F.max_by(F.struct("start", "end", F.col("fix").alias("text")), F.struct("ratio", -F.col("start"))).alias("x"))
+    edits = edits.unionByName(picked.select("query_id", "x.start", "x.end", "x.text", F.lit("suspect").alias("kind")))
+
+    looked = missing.unionByName(doubted).select("query_id", F.explode(pieces_of(F.col("key"))).alias("piece")).groupBy("query_id").agg(F.array_sort(F.collect_set("piece")).alias("pieces"))
+    lists = edits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "text"))).alias("edits"), F.bool_and(F.col("kind") == "keyboard").alias("typed"))
+    # An edit brings the text between the one before it and itself.
+    ends = F.concat(F.array(F.lit(0)), F.col("edits")["end"])
+    parts = F.transform("edits", lambda e, i: F.concat(F.substring(F.col("query"), F.element_at(ends, i + 1) + 1, e["start"] - F.element_at(ends, i + 1)), e["text"]))
+    fixed = F.concat(F.array_join(parts, ""), F.substring(F.col("query"), F.element_at(ends, -1) + 1, F.length("query")))
+    made = weak.join(lists, "query_id").join(looked, "query_id", "left")
+    return made.select("query_id", "query", fixed.alias("fixed"), ((F.col("found") == 0) | F.col("typed")).alias("auto"), F.coalesce("pieces", F.array().cast("array<string>")).alias("pieces"))
+
+
+def pieces_of(key: Column) -> Column:
+    """Pieces of the word list in which a fix for the key can be."""
+    return F.when(reach(F.length(key)) >= 1, pieces_for(key, 1)).otherwise(pieces_for(key, 0))
+
+
+def rescue_search(search: Callable[[DataFrame], DataFrame], queries: DataFrame, known: DataFrame, words: DataFrame, analyzer: Analyzer | None = None) -> tuple[DataFrame, DataFrame]:
+    """(results, fixes) of queries(query_id, query), searched as typed and, where that is weak and can be mended, as fixed.
+
+    search: queries -> query_id, doc_id, ... A fix is kept only if its search finds something: then its results take the
+    place of the ones as typed (auto), or it is a suggestion beside them. fixes: query_id, query, fixed, auto.
+    """
+    own = queries.select("query_id", "query")
+    typed = written(search(own), "hits")
+    counts = typed.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"))
+    fixes = check(own.join(counts, "query_id", "left").withColumn("found", F.coalesce("found", F.lit(0))), known, words, analyzer)
+    fixes = written(fixes, "fixes")
+    mended = written(search(fixes.select("query_id", F.col("fixed").alias("query"))), "hits")
+    fixes = fixes.join(mended.select("query_id").distinct(), "query_id", "left_semi").drop("pieces")
+    instead = fixes.where("auto").select("query_id")
+    results = typed.join(instead, "query_id", "left_anti").unionByName(mended.join(instead, "query_id", "left_semi"))
+    return results, fixes
+
+
+@pandas_udf(T.ArrayType(T.StringType()))
+def _opened(rests: pd.Series, shared: pd.Series) -> pd.Series:
+    def one(pair):
+        out, before = [], ""
+        for rest, n in zip(*pair, strict=True):
+            before = before[:n] + rest
+            out.append(before)
+        return out
+
+    return pd.Series(map(one, zip(rests, shared, strict=True)), dtype=object)
+
+
+def front_decoded(coded: DataFrame) -> DataFrame:
+    """piece, key, count of front-coded words (piece, line, shared, rest, level); a count is its level's least, 2**level.
+
+    A piece is bounded by its words' first letter and length, and its lines are read in their order.
     """
-    runs = queries.select("query_id", "query", "found", F.posexplode(F.regexp_extract_all("query", F.lit(r"\S+"), F.lit(0))).alias("pos", "run"))
-    terms = known.select("term").distinct()
-    flagged = runs.join(terms.select(F.col("term").alias("run"), F.lit(True).alias("known")), "run", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    weak = flagged.where(~F.col("known"))
-    by_key = layout_fixes(weak.select("query_id", "run").distinct(), terms)
-    spelled = spell(words, weak.select(word_key(F.col("run")).alias("key")).where(is_persian(F.col("key")))).select(F.col("key"), F.col("fix").alias("spelled"))
-    joined = flagged.withColumn("key", word_key(F.col("run"))).join(by_key.select("query_id", "fixes"), "query_id", "left").join(spelled, "key", "left")
-    typed = F.try_element_at("fixes", F.col("run"))
-    new = F.when(F.col("known"), F.col("run")).otherwise(F.coalesce(typed, "spelled", "run"))
-    parts = joined.select("query_id", "query", "found", "pos", new.alias("new"), (~F.col("known") & typed.isNull() & F.col("spelled").isNotNull()).alias("by_spelling"))
-    whole = parts.groupBy("query_id", "query", "found").agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("parts"), F.max("by_spelling").alias("by_spelling"))
-    fixed = F.array_join(F.transform("parts", lambda p: p["new"]), " ")
-    made = whole.select("query_id", "query", fixed.alias("fixed"), ((F.col("found") == 0) | ~F.col("by_spelling")).alias("auto"))
-    return made.where(F.col("fixed") != F.array_join(F.regexp_extract_all("query", F.lit(r"\S+"), F.lit(0)), " "))
+    rows = coded.groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("line", "shared", "rest", "level"))).alias("w"))
+    opened = rows.select("piece", F.arrays_zip(_opened(F.col("w")["rest"], F.col("w")["shared"]).alias("key"), F.col("w")["level"].alias("level")).alias("x"))
+    return opened.select("piece", F.inline("x")).select("piece", "key", F.pow(F.lit(2), F.col("level")).cast("long").alias("count"))
 
 
 def front_coded(words: DataFrame) -> DataFrame:
-    """piece, key, shared, rest, level: each word as what it shares with the one before it in its piece (9 at most)."""
+    """piece, key, line, shared, rest, level: each word as what it shares with the one before it in its piece (9 at most)."""
     order = Window.partitionBy("piece").orderBy("key")
     before = words.withColumn("before", F.coalesce(F.lag("key").over(order), F.lit("")))
     same = [(F.length("key") >= n) & (F.length("before") >= n) & (F.substring("key", 1, n) == F.substring("before", 1, n)) for n in range(1, 10)]
     shared = reduce(lambda total, x: total + x.cast("int"), same, F.lit(0))
     level = F.least(F.lit(9), F.floor(F.log2("count"))).cast("int")
-    return before.withColumn("shared", shared).select("piece", "key", "shared", F.expr("substring(key, shared + 1)").alias("rest"), level.alias("level"))
+    return before.withColumn("shared", shared).select("piece", "key", F.row_number().over(order).alias("line"), "shared", F.expr("substring(key, shared + 1)").alias("rest"), level.alias("level"))

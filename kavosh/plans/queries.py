@@ -79,13 +79,13 @@ def _part_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _part_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two words of every part of size 7."""
-    parts = _read(spark, sf_dir, "part", "p_partkey", "p_name", "p_size").where("p_size = 7")
+    """The first two words of every part whose key is divisible by 20: the query set of the searches."""
+    parts = _read(spark, sf_dir, "part", "p_partkey", "p_name").where("p_partkey % 20 = 0")
     return parts.select(F.col("p_partkey").alias("query_id"), F.slice(tokens.words(bridge(F.col("p_name"))), 1, 2).alias("terms"))
 
 
 _INDEX = f"""post AS (SELECT term, p_partkey AS doc_id, count(*) AS tf, any_value(n_terms) AS n_terms FROM (SELECT p_partkey, unnest(w) AS term, len(w) AS n_terms FROM (SELECT p_partkey, {_WORDS.format(_BRIDGE.format('p_name'))} AS w FROM part)) GROUP BY ALL),
-wanted AS (SELECT query_id, unnest(t) AS term, len(t) AS n_wanted FROM (SELECT p_partkey AS query_id, list_distinct({_WORDS.format(_BRIDGE.format('p_name'))}[1:2]) AS t FROM part WHERE p_size = 7))"""
+wanted AS (SELECT query_id, unnest(t) AS term, len(t) AS n_wanted FROM (SELECT p_partkey AS query_id, list_distinct({_WORDS.format(_BRIDGE.format('p_name'))}[1:2]) AS t FROM part WHERE p_partkey % 20 = 0))"""
 
 
 @query(f"WITH {_INDEX} SELECT term, doc_id, tf, n_terms FROM post")
@@ -115,29 +115,6 @@ def prefix_search_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(_part_index(spark, sf_dir), queries, "static-site")
 
 
-def _every_20th(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two words of every part whose key is divisible by 20; the searches above ask those of size 7, as their SQL does."""
-    parts = _read(spark, sf_dir, "part", "p_partkey", "p_name").where("p_partkey % 20 = 0")
-    return parts.select(F.col("p_partkey").alias("query_id"), F.slice(tokens.words(bridge(F.col("p_name"))), 1, 2).alias("terms"))
-
-
-@query()
-def and_search_top10_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(_part_index(spark, sf_dir), _every_20th(spark, sf_dir), "strict")
-
-
-@query()
-def or_bm25_top10_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.match_any(_part_index(spark, sf_dir), _every_20th(spark, sf_dir))
-    return search.top(hits.withColumn("score", F.round("score", 6)))
-
-
-@query()
-def prefix_search_top10_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = _every_20th(spark, sf_dir).withColumn("terms", F.transform("terms", lambda t: F.substring(t, 1, 3)))
-    return search.search(_part_index(spark, sf_dir), queries, "static-site")
-
-
 @query(f"SELECT p_partkey, {_translate('p_name', _FROM, _TO)} AS persian FROM part")
 def kbd_to_persian(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "part", "p_partkey", "p_name").select("p_partkey", keyboard.to_persian(F.col("p_name")).alias("persian"))
@@ -180,8 +157,7 @@ def query_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = _read(spark, sf_dir, "part", "p_partkey", "p_name")
     typed = names.select(F.col("p_partkey").alias("query_id"), F.lower("p_name").alias("query"), F.lit(0).alias("found"))
     words = rescue.word_list(names, tokens.words(bridge(F.col("p_name"))))
-    known = words.select(F.col("key").alias("term"))
-    return rescue.check(typed, known, words)
+    return rescue.check(typed, rescue.index_terms(names, bridge(F.col("p_name"))), words)
 
 
 @query()
@@ -256,22 +232,16 @@ def macro_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _runs(spark, sf_dir).withColumnRenamed("rank", "rank_a").where("o_orderkey % 97 < 3")
+    return _runs(spark, sf_dir).withColumnRenamed("rank", "rank_a")
 
 
-@query(f"""WITH RECURSIVE {_RUNS}, c AS (SELECT type, count(*) FILTER (rank > 0 AND rank_b = 0) AS lost, count(*) FILTER (rank = 0 AND rank_b > 0) AS gained FROM runs WHERE o_orderkey % 97 < 3 GROUP BY type),
+@query(f"""WITH RECURSIVE {_RUNS}, c AS (SELECT type, count(*) FILTER (rank > 0 AND rank_b = 0) AS lost, count(*) FILTER (rank = 0 AND rank_b > 0) AS gained FROM runs GROUP BY type),
 tail AS (SELECT type, lost, gained, 0 AS i, -(lost + gained) * ln(2.0) AS l FROM c UNION ALL SELECT type, lost, gained, i + 1, l + ln((lost + gained - i) / (i + 1.0)) FROM tail WHERE i < least(lost, gained))
 SELECT type, lost, gained, round(least(1.0, 2 * sum(exp(l))), 9) AS p FROM tail GROUP BY type, lost, gained""")
 def mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.mcnemar(_pairs(spark, sf_dir), "type").withColumn("p", F.round("p", 9))
 
 
-@query()
-def mcnemar_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """mcnemar over the runs of all orders; its own SQL holds to a slice of them."""
-    return evaluation.mcnemar(_runs(spark, sf_dir).withColumnRenamed("rank", "rank_a"), "type").withColumn("p", F.round("p", 9))
-
-
 _WILCOXON = f"""{_RUNS}, d AS (SELECT type, (rank_b - rank)::DOUBLE AS d FROM runs WHERE rank_b <> rank),
 r AS (SELECT type, d, rank() OVER (PARTITION BY type ORDER BY abs(d)) + (count(*) OVER (PARTITION BY type, abs(d)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY type, abs(d)) AS t FROM d),
 w AS (SELECT type, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w, sum(t::DOUBLE * t - 1) AS ties FROM r GROUP BY type),
@@ -286,19 +256,12 @@ def wilcoxon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BH = """SELECT c_custkey, p, q FROM (SELECT c_custkey, p, least(1.0, min(p * m / r) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING)) AS q FROM
-(SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p) AS r FROM (SELECT c_custkey, (c_custkey * 7919 % 10007) / 10007.0 AS p FROM customer WHERE c_custkey <= 10000)))"""
+(SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p) AS r FROM (SELECT c_custkey, (c_custkey * 7919 % 10007) / 10007.0 AS p FROM customer)))"""
 
 
 @query(f"SELECT c_custkey, round(p, 9) AS p, round(q, 9) AS q FROM ({_BH})")
 def bh_qvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A family of tests is small by nature: the first 10,000 cells form it."""
-    cells = _read(spark, sf_dir, "customer", "c_custkey").where("c_custkey <= 10000").withColumn("p", F.col("c_custkey") * 7919 % 10007 / F.lit(10007.0))
-    return evaluation.benjamini_hochberg(cells).select("c_custkey", F.round("p", 9).alias("p"), F.round("q", 9).alias("q"))
-
-
-@query()
-def bh_qvalues_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """bh_qvalues over all customers; its own SQL holds to the first 10,000."""
+    """One family of tests: all customers."""
     cells = _read(spark, sf_dir, "customer", "c_custkey").withColumn("p", F.col("c_custkey") * 7919 % 10007 / F.lit(10007.0))
     return evaluation.benjamini_hochberg(cells).select("c_custkey", F.round("p", 9).alias("p"), F.round("q", 9).alias("q"))
 
@@ -352,11 +315,11 @@ def sliding_max_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.max_window(_read(spark, sf_dir, "conversations", "conv_id", "turn", "text"), F.length("text") % 3 == 0, 3, "turn", "conv_id")
 
 
-@query(f"""WITH d AS (SELECT p_partkey AS target, {_WORDS.format('p_name')} AS dt FROM part), q AS (SELECT p_partkey AS query_id, p_partkey + p_partkey % 2 AS target, {_WORDS.format('p_name')}[1:1] AS qt FROM part)
+@query(f"""WITH d AS (SELECT p_partkey AS target, {_WORDS.format('p_name')} AS dt FROM part), q AS (SELECT p_partkey AS query_id, p_partkey + p_partkey % 2 AS target, {_WORDS.format('p_name')} AS qt FROM part)
 SELECT query_id, list_has_all(coalesce(dt, []), qt) AS covered FROM q LEFT JOIN d USING (target)""")
 def coverage_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _read(spark, sf_dir, "part", "p_partkey", "p_name").withColumn("terms", tokens.words(F.col("p_name")))
-    queries = parts.select(F.col("p_partkey").alias("query_id"), (F.col("p_partkey") + F.col("p_partkey") % 2).alias("target"), F.slice("terms", 1, 1).alias("terms"))
+    queries = parts.select(F.col("p_partkey").alias("query_id"), (F.col("p_partkey") + F.col("p_partkey") % 2).alias("target"), F.col("terms"))
     return search.covered(parts.select(F.col("p_partkey").alias("doc_id"), "terms").withColumnRenamed("doc_id", "target").withColumnRenamed("target", "doc_id"), queries)
 
 
@@ -375,12 +338,12 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def html_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _read(spark, sf_dir, "pages", "page_id", "html").select("page_id", html.regions("html").alias("r"))
-    return r.select("page_id", "r.title", "r.has_body", F.posexplode_outer("r.regions").alias("pos", "region")).select("page_id", "title", "has_body", "pos", "region.weight", "region.text")
+    return r.select("page_id", "r.title", "r.has_body", F.posexplode_outer("r.regions").alias("pos", "x")).select("page_id", "title", "has_body", "pos", "x.region", "x.weight", "x.text", "x.end")
 
 
-@query(f"""SELECT doc_id, length(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS escaped_length FROM documents""")
+@query(f"""SELECT doc_id, md5(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS digest FROM documents""")
 def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.length(html.escaped(F.col("text"))).cast("long").alias("escaped_length"))
+    return _read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.md5(html.escaped(F.col("text"))).alias("digest"))
 
 
 @query(f"SELECT p_partkey, {_translate(_BRIDGE.format('p_name'), 'یک', 'يك')} AS arabic, {_translate(_BRIDGE.format('p_name'), 'آ', 'ا')} AS bare FROM part")
@@ -405,9 +368,9 @@ def typo_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best 30 words of each document for the words of three letters that start with 'th'."""
-    words = tokens.words(F.col("text"))
-    hits = F.transform(words, lambda w: F.lower(w).rlike("^th[a-z]$"))
-    return _read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", html.excerpt(words, hits).alias("excerpt"))
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", "text", tokens.tokens_with_offsets("text").alias("words"))
+    hits = F.transform("words", lambda w: w["text"].rlike("^th[a-z]$"))
+    return docs.select("doc_id", html.excerpt("text", "words", hits).alias("excerpt"))
 
 
 @query("SELECT count(*) AS n, count(DISTINCT o_orderkey) AS keys FROM orders")
@@ -415,6 +378,62 @@ def content_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "orders", "o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderkey").alias("keys"))
 
 
-@query()
+_WORD32 = " + ".join(f"('0x' || substr(d, {{0}} + {2 * i}, 2))::BIGINT * {1 << 8 * (3 - i)}" for i in range(4))
+
+
+@query(f"""WITH r AS (SELECT sha256(o_orderkey::VARCHAR || chr(31) || o_custkey::VARCHAR) AS d FROM orders), s AS (SELECT count(*) AS n, {", ".join(f"sum({_WORD32.format(1 + 8 * i)})::BIGINT AS s{i}" for i in range(4))} FROM r)
+SELECT n, left(sha256(concat_ws(',', s0, s1, s2, s3, n)), 16) AS fingerprint FROM s""")
 def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.fingerprint(_read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey", "o_custkey", "o_totalprice")
+    return evaluation.fingerprint(_read(spark, sf_dir, "orders", "o_orderkey", "o_custkey"), "o_orderkey", "o_custkey")
+
+
+@query(f"WITH {_RUNS} SELECT type AS row, round(avg(m), 9) AS mean, count(*) AS cells FROM (SELECT type, lemma, avg((rank > 0)::INT) AS m FROM runs GROUP BY ALL) GROUP BY type")
+def cell_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _runs(spark, sf_dir).withColumn("hit", (F.col("rank") > 0).cast("int")).withColumnRenamed("type", "row")
+    return evaluation.cell_means(hits, "hit", "row", "lemma").withColumn("mean", F.round("mean", 9))
+
+
+@query("SELECT p_brand AS lemma, count(*) AS forms, count(DISTINCT left(p_name, 4)) AS terms, count(DISTINCT left(p_name, 4)) = 1 AS whole FROM part GROUP BY p_brand")
+def lemma_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.families(_read(spark, sf_dir, "part", "p_brand", "p_name").select(F.col("p_brand").alias("lemma"), F.substring("p_name", 1, 4).alias("term")), "lemma", "term")
+
+
+@query(f"WITH {_RUNS}, c AS (SELECT type, count(*) FILTER (rank = 0 AND rank_b > 0) AS fixed, count(*) FILTER (rank > 0 AND rank_b = 0) AS broken FROM runs GROUP BY type) SELECT *, fixed - broken AS net FROM c")
+def fixed_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.fixed_broken(_pairs(spark, sf_dir), "type")
+
+
+@query("""WITH c AS (SELECT l_returnflag AS type, count(*) FILTER (l_orderkey % 3 = 0 AND l_partkey % 2 = 0) AS "right", count(*) FILTER (l_orderkey % 3 = 0) AS made, count(*) FILTER (l_partkey % 2 = 0) AS wanted FROM lineitem GROUP BY 1)
+SELECT *, round("right" / made, 9) AS precision, round("right" / wanted, 9) AS recall FROM c""")
+def join_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "lineitem", "l_returnflag", "l_orderkey", "l_partkey").select(F.col("l_returnflag").alias("type"), (F.col("l_orderkey") % 3 == 0).alias("made"), (F.col("l_partkey") % 2 == 0).alias("wanted"))
+    return evaluation.join_precision(rows, "type").withColumns({"precision": F.round("precision", 9), "recall": F.round("recall", 9)})
+
+
+def _offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _runs(spark, sf_dir).withColumn("fixed_rank", F.when(F.col("o_orderkey") % 4 == 0, F.col("rank_b")))
+
+
+_OFFERS = f"{_RUNS}, o AS (SELECT *, CASE WHEN o_orderkey % 4 = 0 THEN rank_b END AS f FROM runs)"
+
+
+@query(f"WITH {_OFFERS} SELECT type, count(*) AS n, round(avg((f IS NOT NULL)::INT), 9) AS noticed, round(avg(coalesce(rank = 0 AND f > 0, false)::INT), 9) AS helped, round(avg(coalesce(rank > 0 AND f = 0, false)::INT), 9) AS harmed FROM o GROUP BY type")
+def notice_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.notice_rates(_offers(spark, sf_dir), "type").withColumns({c: F.round(c, 9) for c in ("noticed", "helped", "harmed")})
+
+
+@query(f"WITH {_OFFERS} SELECT type, count(*) AS n, round(avg((rank > 0 OR coalesce(f, 0) > 0)::INT), 9) AS reached FROM o GROUP BY type")
+def one_click(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.one_click(_offers(spark, sf_dir), "type").withColumn("reached", F.round("reached", 9))
+
+
+@query("SELECT left(p_name, 4) AS term, count(DISTINCT p_brand) AS lemmas, (count(DISTINCT p_brand) * (count(DISTINCT p_brand) - 1) // 2)::BIGINT AS pairs FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) >= 2")
+def wrong_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.wrong_merges(_read(spark, sf_dir, "part", "p_brand", "p_name").select(F.col("p_brand").alias("lemma"), F.substring("p_name", 1, 4).alias("term")), "lemma", "term")
+
+
+@query("""WITH c AS (SELECT l_linestatus AS type, count(*) FILTER (l_orderkey % 3 = 0 AND l_partkey % 2 = 0) AS tp, count(*) FILTER (l_orderkey % 3 <> 0 AND l_partkey % 2 = 0) AS fp, count(*) FILTER (l_orderkey % 3 = 0 AND l_partkey % 2 <> 0) AS fn FROM lineitem GROUP BY 1)
+SELECT *, round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fn), 9) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 9) AS f1 FROM c""")
+def pair_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "lineitem", "l_linestatus", "l_orderkey", "l_partkey").select(F.col("l_linestatus").alias("type"), (F.col("l_orderkey") % 3 == 0).alias("gold"), (F.col("l_partkey") % 2 == 0).alias("said"))
+    return evaluation.pair_metrics(rows, "gold", "said", "type").withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})

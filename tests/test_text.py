@@ -116,16 +116,45 @@ def test_fnv(spark):
     assert all(0 <= x < 1 for x in first) and len(set(first)) == 50
 
 
-def test_html(spark):
-    page = "<html><head><title>T</title><script>no</script></head><body><h1>Head <b>one</b></h1><p>plain <i>wo</i>rd</p><div data-ignore>no</div><p data-weight=3>heavy</p></body></html>"
-    r = html.regions_of(page)
-    assert r["title"] == "Head one" and [(x["weight"], x["text"]) for x in r["regions"]] == [(7.0, "Head one"), (1.0, "plain word"), (3.0, "heavy")]
-    df = spark.createDataFrame([(page,)], "h string")
-    once = df.select(html.annotated(F.col("h"), F.lit("a<b")).alias("h"))
-    twice = once.select(html.annotated(F.col("h"), F.lit("a<b")).alias("h"))
-    assert once.first() == twice.first() and "a&lt;b" in once.first().h
-    assert df.select(html.unescaped(html.escaped(F.col("h"))).alias("h")).first().h == page
-    assert html.excerpt_of(["a", "b", "c", "d"], [False, False, True, True], 2) == "<mark>c</mark> <mark>d</mark>"
+PAGE = "<html><head><title>T</title><script>no</script></head><body><h1>Head <b>one</b></h1><p>plain <i>wo</i>rd</p><div data-pagefind-ignore>no</div><label>no</label><footer>no</footer><p data-pagefind-weight=3>hea<time>vy</time></p><p>last &amp; &#1587;</p></body></html>"
+
+
+def test_html_regions():
+    r = html.regions_of(PAGE)
+    assert (r["title"], r["has_body"], r["own_title"]) == ("Head one", False, False)
+    assert [(x["weight"], x["text"]) for x in r["regions"]] == [(1.0, "plain word last & س"), (7.0, "Head one"), (3.0, "heavy")]  # as weights first occur, breaks included
+    assert {PAGE[x["end"] :] for x in r["regions"]} == {"</body></html>"}
+    marked = "<body>out<main data-pagefind-body>in <p>side</main>out<b data-pagefind-body=x>two</b><span data-pagefind-meta='title'>t</span></body>"
+    r = html.regions_of(marked)
+    assert r["has_body"] and r["own_title"] and [(x["region"], x["text"]) for x in r["regions"]] == [(0, "in side"), (1, "two")]
+    assert [x["text"] for x in html.regions_of("a <i>frag</i>ment<br>only")["regions"]] == ["a frag ment only"]
+    assert html.regions_of("")["regions"] == [] and html.regions_of("<body><p>never closed")["regions"][0]["end"] == len("<body><p>never closed")
+    assert html.unescape_text("&lt;&#x645;&#1587;&zwnj;&nope;&amp;lt; &#0;") == "<م\u0633\u200c&nope;&lt; &#0;"
+
+
+def test_annotated_pages(spark):
+    df = spark.createDataFrame([(1, PAGE), (2, "<body></body>"), (3, None)], "id long, h string")
+    terms = lambda text: F.split(text, " ")
+    once = html.annotated_pages(df, "id", "h", terms)
+    got = {r.id: r.html for r in once.collect()}
+    blocks = '<div hidden data-terms>plain word last &amp; س</div><div hidden data-terms data-pagefind-weight="7">Head one</div><div hidden data-terms data-pagefind-weight="3">heavy</div>'
+    title = '<span hidden data-terms data-pagefind-meta="title[data-terms-title], original[data-terms-original]" data-terms-title="Head one" data-terms-original="Head one"></span>'
+    assert got == {1: PAGE.replace("</body>", blocks + title + "</body>"), 2: "<body></body>", 3: None}
+    assert {r.id: r.html for r in html.annotated_pages(once.withColumnRenamed("html", "h"), "id", "h", terms).collect()} == got
+
+
+def test_excerpts(spark):
+    text = "a, b; <c> d-e"
+    spans = [(0, 1), (3, 4), (7, 8), (10, 11), (12, 13)]
+    assert html.excerpt_of(text, spans, [False, False, True, True, False], 2) == "<mark>c</mark>&gt; <mark>d</mark>"
+    assert html.excerpt_of(text, spans, [False] * 5, 3) == "a, b; &lt;c" and html.excerpt_of("<" * 300, [], [], 3) == "&lt;" * 200
+    for n, size in ((9, 4), (3, 5), (12, 3)):
+        for bits in range(1 << n):
+            hits = [bool(bits >> i & 1) for i in range(n)]
+            begin = html.window_of(hits, size)
+            assert 0 <= begin <= max(0, n - size) and sum(hits[begin : begin + size]) == max(sum(hits[i : i + size]) for i in range(n))
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(html.unescaped(html.escaped(F.col("t"))).alias("t")).first().t == text
 
 
 def test_variants(spark):

@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kavosh.functions import distance, hashing, html, keyboard, normalize, tokens
+from kavosh.functions import distance, hashing, html, keyboard, normalize, predicates, tokens
 from kavosh.functions import alphabet as A
 from kavosh.functions.analyzer import Analyzer
-from kavosh.operators import evaluation, rescue, sampling, search, variants
+from kavosh.operators import evaluation, labels, rescue, sampling, search, variants
 
 _FROM, _TO = keyboard.persian_table("isiri9147")
 _BACK = keyboard.latin_table("isiri9147")
@@ -437,3 +437,64 @@ SELECT *, round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fn), 9) AS rec
 def pair_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "lineitem", "l_linestatus", "l_orderkey", "l_partkey").select(F.col("l_linestatus").alias("type"), (F.col("l_orderkey") % 3 == 0).alias("gold"), (F.col("l_partkey") % 2 == 0).alias("said"))
     return evaluation.pair_metrics(rows, "gold", "said", "type").withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
+
+
+_RAW = "list_filter(list_transform({0}, lambda w: regexp_replace(w, '^‌+|‌+$', '', 'g')), lambda w: w <> '')"
+
+
+@query(f"SELECT token, count(*) AS n FROM (SELECT unnest({_RAW.format(_WORDS.format('text'))}) AS token FROM documents) GROUP BY token")
+def raw_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.vocabulary(_read(spark, sf_dir, "documents", "text"), predicates.raw_tokens(F.col("text")), 1)
+
+
+@query(f"""WITH t AS (SELECT DISTINCT unnest({_WORDS.format("text || ' ' || " + _BRIDGE.format('text'))}) AS token FROM documents)
+SELECT token, regexp_matches(token, '{predicates.SCRIPT}') AS arabic, regexp_matches(token, '^[A-Za-z][A-Za-z0-9-]*$') AS latin, regexp_matches(token, '[0-9۰-۹٠-٩]') AS digit, regexp_matches(token, '{predicates.PERSIAN_ONLY}') AS persian FROM t""")
+def token_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = F.concat("text", F.lit(" "), bridge(F.col("text")))
+    words = _read(spark, sf_dir, "documents", "text").select(F.explode(tokens.words(both)).alias("token")).distinct()
+    t = F.col("token")
+    return words.select("token", predicates.is_arabic_script(t).alias("arabic"), predicates.is_latin(t).alias("latin"), predicates.has_digit(t).alias("digit"), predicates.is_persian_only(t).alias("persian"))
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE length(text) >= 2000")
+def long_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents", "doc_id", "text", "n_chars").where(predicates.long_text(F.col("text"))).select("doc_id", "n_chars")
+
+
+@query(f"SELECT word, CASE WHEN {_FNV.format("('lemma/' || word)")} % 10 = 0 THEN 'dev' WHEN {_FNV.format("('lemma/' || word)")} % 10 = 1 THEN 'test' ELSE 'train' END AS half FROM (SELECT DISTINCT p_name AS word FROM part)")
+def lemma_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "part", "p_name").select(F.col("p_name").alias("word")).distinct().select("word", hashing.lemma_split(F.col("word")).alias("half"))
+
+
+@query("SELECT conv_id, turn, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS digest FROM conversations")
+def squashed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", F.md5(normalize.squash(F.col("text"))).alias("digest"))
+
+
+def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    return rows.select(F.col("l_partkey").alias("word"), (F.col("l_orderkey") % 3).alias("base"), (F.col("l_partkey") % 3).alias("target"), (F.col("l_suppkey") % 3).alias("term"), F.col("l_linenumber").cast("long").alias("count"))
+
+
+@query("""WITH e AS (SELECT l_partkey IN (SELECT ps FROM (SELECT DISTINCT l_suppkey AS ps FROM lineitem)) AS seen, l_orderkey % 3 AS base, l_partkey % 3 AS target, l_suppkey % 3 AS term, l_linenumber AS n FROM lineitem)
+SELECT seen, sum(n)::BIGINT AS tokens, sum(CASE WHEN base <> target AND term = target THEN n ELSE 0 END)::BIGINT AS fixed, sum(CASE WHEN base = target AND term <> target THEN n ELSE 0 END)::BIGINT AS broken,
+sum(CASE WHEN base <> target THEN n ELSE 0 END)::BIGINT AS missed, sum(CASE WHEN base = target THEN n ELSE 0 END)::BIGINT AS hit FROM e GROUP BY seen""")
+def seen_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.seen_unseen(_examples(spark, sf_dir), _read(spark, sf_dir, "lineitem", "l_suppkey").withColumnRenamed("l_suppkey", "word"))
+
+
+@query("""WITH a AS (SELECT o_orderkey % 4 AS gold, CASE WHEN o_custkey % 5 > 0 THEN o_custkey % 4 END AS a, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey % 4 END AS b FROM orders),
+e AS (SELECT gold, 'a' AS rater, a AS said FROM a UNION ALL SELECT gold, 'b', b FROM a UNION ALL SELECT gold, 'agree', CASE WHEN a = b THEN a END FROM a)
+SELECT rater, count(*) AS n, count(said) AS answered, count(*) FILTER (said = gold) AS "right" FROM e GROUP BY rater""")
+def rater_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    rows = _read(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select((o % 4).alias("gold"), F.when(c % 5 > 0, c % 4).alias("a"), F.when(o % 7 > 0, o % 4).alias("b"))
+    return labels.rater_scores(rows)
+
+
+@query(f"""WITH c AS (SELECT p_name AS word, p_size AS n FROM part WHERE p_size >= 10 UNION ALL SELECT p_type, p_size FROM part), w AS (SELECT word, max(n)::BIGINT AS count FROM c GROUP BY word)
+SELECT word, count, {_FNV.format("('bulk/' || word)")} AS turn FROM w WHERE word NOT IN (SELECT p_name FROM part WHERE p_partkey % 3 = 0)""")
+def labelling_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _read(spark, sf_dir, "part", "p_partkey", "p_name", "p_type", "p_size").withColumn("count", F.col("p_size").cast("long"))
+    sources = [p.where("p_size >= 10").withColumnRenamed("p_name", "word"), p.withColumnRenamed("p_type", "word")]
+    return labels.queue(sources, p.where("p_partkey % 3 = 0").withColumnRenamed("p_name", "word"), "bulk")

@@ -109,3 +109,23 @@ def indexable(pages: DataFrame) -> DataFrame:
     """Pages to index: if any marks its body, those that mark none are left out. pages: url, has_body."""
     marked = pages.agg(F.max("has_body").alias("any_body"))  # one row
     return pages.join(F.broadcast(marked)).where("has_body or not coalesce(any_body, false)").drop("any_body")
+
+
+def write_jsonl(rows: DataFrame, path: str) -> None:
+    """One JSON object a line; null fields are written, so every line has all columns."""
+    rows.write.option("ignoreNullFields", "false").json(path)
+
+
+def stop_words(spark: SparkSession, path: str) -> DataFrame:
+    """word: one a line; blank lines and comments are left out."""
+    return spark.read.text(path).select(F.trim("value").alias("word")).where("word <> '' and not startswith(word, '#')").distinct()
+
+
+def write_runs(runs: DataFrame, path: str, asked: str) -> None:
+    """Cached runs under what was asked: a hash of the query set and of the configuration."""
+    runs.withColumn("asked", F.lit(asked)).write.mode("append").partitionBy("asked").parquet(path)
+
+
+def read_runs(spark: SparkSession, path: str, asked: str, schema: str) -> DataFrame:
+    """The cached runs of what is asked; none if they are stale, for another hash names another folder."""
+    return spark.read.schema(f"{schema}, asked string").parquet(path).where(F.col("asked") == asked).drop("asked")

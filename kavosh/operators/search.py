@@ -94,8 +94,21 @@ PROFILES = {
 }
 
 
-def search(index: DataFrame, queries: DataFrame, profile: str = "any-word", k: int = 10) -> DataFrame:
-    return top(PROFILES[profile]["match"](index, queries), k)
+def search(index: DataFrame, queries: DataFrame, profile: str = "any-word", k: int = 10, title: DataFrame | None = None) -> DataFrame:
+    """The k best documents of each query by a profile.
+
+    title: an index of the titles beside that of the bodies; a profile's boost multiplies its scores. A sentinel closes
+    every term on both sides, so that an engine that matches prefixes matches whole terms only.
+    """
+    p = PROFILES[profile]
+    if mark := p.get("sentinel"):
+        closed = F.concat("term", F.lit(mark))
+        index, title = index.withColumn("term", closed), title if title is None else title.withColumn("term", closed)
+        queries = queries.withColumn("terms", F.transform("terms", lambda t: F.concat(t, F.lit(mark))))
+    hits = p["match"](index, queries)
+    if title is not None:
+        hits = boosted(p["match"](title, queries), hits, p.get("boost", 1.0))
+    return top(hits, k)
 
 
 def covered(docs: DataFrame, queries: DataFrame, terms: str = "terms") -> DataFrame:

@@ -56,6 +56,16 @@ def test_matches(spark):
     assert {(r.query_id, r["rank"]) for r in search.rank_of(targets, search.search(index, queries)).collect()} == {(1, 2), (3, 0)}
 
 
+def test_profiles_with_titles_and_sentinels(spark):
+    cut = lambda rows: search.postings(spark.createDataFrame(rows, "id long, text string"), "id", F.split("text", " "))
+    title, body = cut([(1, "red"), (2, "blue"), (3, "green")]), cut([(1, "boat at sea"), (2, "red boat here"), (3, "red_ boat")])
+    queries = spark.createDataFrame([(1, ["red"])], "query_id long, terms array<string>")
+    fielded = search.search(body, queries, "any-word-fielded", title=title).collect()
+    plain_ = {r.doc_id: r.score for r in search.match_any(title, queries).collect()} | {r.doc_id: r.score for r in search.match_any(body, queries).collect()}
+    assert {r.doc_id: r.score for r in fielded} == {1: pytest.approx(2 * plain_[1]), 2: pytest.approx(plain_[2])}
+    assert [r.doc_id for r in search.search(body, queries, "exact-sentinel").collect()] == [2]
+
+
 def test_spelling(spark):
     text = " ".join(["صابون"] * 12 + ["کتاب"] * 3 + ["کتاپ"])
     df = spark.createDataFrame([(text,)], "t string")

@@ -162,4 +162,26 @@ def test_variants(spark):
     got = {r.t: {x.type: x.text for x in r.v} for r in df.collect()}
     assert got["کتاب آبی یک"]["arabic-yk"] == "كتاب آبي يك" and got["کتاب آبی یک"]["alef-madda"] == "کتاب ابی یک" and "arabic-yk" not in got["book"]
     forms = spark.range(1).select(F.explode(variants.verb_forms(F.lit("رفت"), F.lit("رو"))).alias("f")).select("f.*").collect()
-    assert {f.form for f in forms} >= {"رفتم", "نرفتند", f"می{ZWNJ}روم", "بروید", "رفتن"} and len(forms) == 50
+    assert {f.form for f in forms} >= {"رفتم", "نرفتند", f"می{ZWNJ}روم", "بروید", "رفتن"} and len(forms) == 52
+
+
+def test_conjugation(spark):
+    verbs = spark.createDataFrame([("آمد", "آ"), ("افتاد", "افت"), ("گفت", "گو"), ("بایست", "")], "past string, present string")
+    forms = {(r.past, r.form): (r.tense, r.person, r.negative) for r in variants.conjugated(verbs).collect()}
+    assert forms["آمد", f"می{ZWNJ}آیم"] == ("present", 1, False) and forms["آمد", "بیاید"] == ("subjunctive", 3, False) and forms["آمد", "نیامدم"] == ("past", 1, True)
+    assert forms["افتاد", "نیفتاد"] == ("past", 3, True) and forms["گفت", "نگفته"] == ("participle", 0, True)
+    assert {t for (p, _), (t, *_) in forms.items() if p == "بایست"} == {"past", "past-progressive", "infinitive", "participle"}
+    asked = spark.createDataFrame([("گفت", "گو", "present", 2, True)], "past string, present string, tense string, person int, negative boolean")
+    assert [r.form for r in variants.generated(asked, verbs).collect()] == [f"نمی{ZWNJ}گوی"]
+    words = spark.createDataFrame([("نیامدند",), ("کتاب",)], "word string")
+    assert [(r.word, r.past, r.negative) for r in variants.analyzed(words, verbs).collect()] == [("نیامدند", "آمد", True)]
+
+
+def test_attested_variants(spark):
+    vocab = spark.createDataFrame([("رییس", 30), ("موسسه", 5), (f"کتاب{ZWNJ}ها", 9), ("کتابها", 2), ("کتاب", 90), ("کتابش", 7)], "token string, n long")
+    rows = spark.createDataFrame([(1, "رئیس مؤسسه"), (2, "کتاب خوب"), (3, "کتابها"), (4, "")], "id long, t string")
+    got = lambda kind, least: {(r.id, r.text) for r in variants.attested(rows, "id", "t", vocab, kind, least).collect()}
+    assert got("hamza", 20) == {(1, "رییس مؤسسه")} and got("plural-add", 5) == {(2, f"کتاب{ZWNJ}ها خوب")} and got("plural-drop", 5) == {(3, "کتاب")}
+    assert got("zwnj-add", 5) == {(3, f"کتاب{ZWNJ}ها")} and got("clitic-add", 5) == {(2, "کتابش خوب")} and got("clitic-add", 8) == set()
+    digit = spark.createDataFrame([("a1۲",), ("۱۲",), ("١",), ("x",)], "t string").select(variants.digits(F.col("t")))
+    assert [r[0] for r in digit.collect()] == ["a۱۲", "12", "1", None]

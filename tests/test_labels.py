@@ -62,3 +62,15 @@ def test_lines_and_cached_runs(spark, tmp_path):
     readers.write_runs(runs, str(tmp_path / "runs"), "h1")
     read = lambda h: readers.read_runs(spark, str(tmp_path / "runs"), h, "query_id long, rank int").collect()
     assert [tuple(r) for r in read("h1")] == [(1, 3)] and read("h2") == []
+
+
+def test_sql_functions(spark):
+    from kavosh.functions import register
+
+    assert len(register.register(spark)) == 14
+    one = lambda expression: spark.sql(f"SELECT {expression}").first()[0]
+    assert one("fa_to_persian('nd[d')") == "دیجی" and one("fa_to_latin('دیجی')") == "nd[d" and one("fa_to_persian('`', 'mac-legacy')") == "پ"
+    assert one("fa_word_key('آب‌ها')") == "ابها" and one("fa_piece_key('سابون')") == "2.5" and one("fa_distance('سابون', 'صابون')") == 0.3
+    assert one("fa_excerpt('کتاب‌های خوب و بد', 'کتاب')") == "<mark>کتاب‌های</mark> خوب و بد" and one("fa_excerpt(NULL, 'x')") is None
+    assert [tuple(r) for r in spark.sql("SELECT * FROM fa_tokenize('می روم')").collect()] == [("می‌روم", 0, 6)]
+    assert [tuple(r) for r in spark.sql("SELECT weight, text FROM fa_html_regions('<body><h1>a</h1>b')").collect()] == [(1.0, "b"), (7.0, "a")]

@@ -14,6 +14,7 @@ from kavosh.functions import distance, hashing, html, keyboard, normalize, predi
 from kavosh.functions import alphabet as A
 from kavosh.functions.analyzer import Analyzer
 from kavosh.operators import evaluation, labels, rescue, sampling, search, variants
+from kavosh.plans import golden
 
 _FROM, _TO = keyboard.persian_table("isiri9147")
 _BACK = keyboard.latin_table("isiri9147")
@@ -160,7 +161,10 @@ def query_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rescue.check(typed, rescue.index_terms(names, bridge(F.col("p_name"))), words)
 
 
-@query()
+@query(f"""WITH {_SPELLED}, w AS (SELECT key, count, CASE {_CASES} ELSE unicode(left(key, 1))::VARCHAR END || '.' || least(length(key), 15) AS piece FROM list),
+b AS (SELECT *, coalesce(lag(key) OVER (PARTITION BY piece ORDER BY key), '') AS before, row_number() OVER (PARTITION BY piece ORDER BY key) AS line FROM w),
+s AS (SELECT *, list_sum(list_transform(range(1, 10), lambda n: (length(key) >= n AND length(before) >= n AND left(key, n) = left(before, n))::INT))::BIGINT AS shared FROM b)
+SELECT piece, key, line, shared, substr(key, shared + 1) AS rest, least(9, floor(log2(count)))::INT AS level FROM s""")
 def front_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rescue.front_coded(word_list(spark, sf_dir))
 
@@ -498,3 +502,15 @@ def labelling_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _read(spark, sf_dir, "part", "p_partkey", "p_name", "p_type", "p_size").withColumn("count", F.col("p_size").cast("long"))
     sources = [p.where("p_size >= 10").withColumnRenamed("p_name", "word"), p.withColumnRenamed("p_type", "word")]
     return labels.queue(sources, p.where("p_partkey % 3 = 0").withColumnRenamed("p_name", "word"), "bulk")
+
+
+@query(f"WITH {_RUNS}, b AS (SELECT o_orderkey, rank_b FROM runs WHERE o_orderkey % 5 <> 0) SELECT o_orderkey, rank AS rank_a, coalesce(b.rank_b, 0) AS rank_b FROM runs LEFT JOIN b USING (o_orderkey)")
+def paired_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of one query set; a query that the second lacks counts as missing there."""
+    runs = _runs(spark, sf_dir)
+    second = runs.where("o_orderkey % 5 <> 0").select("o_orderkey", F.col("rank_b").alias("rank"))
+    return evaluation.paired(runs.select("o_orderkey", "rank"), second, ["o_orderkey"])
+
+
+QUERIES |= golden.QUERIES
+SQL |= golden.SQL

@@ -253,6 +253,38 @@ def test_quality_learns_and_scores():
     assert (quality.score_texts(["a"], np.zeros_like(w)) == 0.5).all()
 
 
+def test_training_is_follow_the_regularised_leader():
+    """The sparse arrays against the update written out for one weight at a time, and scores against a plain dot product."""
+    from math import copysign, exp, sqrt
+
+    texts = ["good plain words here", "BUY!! x9 x9 NOW", "plain words", "x9 BUY!!", "", "good words NOW"]
+    labels, rows = [1, 0, 1, 0, 1, 0], []
+    for t, label in zip(texts, labels, strict=True):
+        place, n = quality.features([t])
+        p, c = np.unique(place, return_counts=True)
+        rows.append((p, c / np.sqrt(max(1, n[0])), label))
+    alpha, beta, l1, l2, bias = 0.3, 1.0, 0.05, 0.1, 1 << quality.BITS
+    z, n = {}, {}
+
+    def weight(i):
+        a = z.get(i, 0.0)
+        return 0.0 if abs(a) <= l1 else -(a - copysign(l1, a)) / ((beta + sqrt(n.get(i, 0.0))) / alpha + l2)
+
+    for _ in range(quality.EPOCHS):
+        for place, value, label in rows:
+            x = dict(zip(place.tolist(), value.tolist(), strict=True)) | {bias: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - label) * v
+                z[i] = z.get(i, 0.0) + g - (sqrt(n.get(i, 0.0) + g * g) - sqrt(n.get(i, 0.0))) / alpha * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    got = quality.train(rows)
+    assert all(got[i] == pytest.approx(weight(i), abs=1e-6) for i in z) and np.count_nonzero(got) == sum(weight(i) != 0 for i in z)
+    for (place, value, _), s in zip(rows, quality.score_texts(texts, got), strict=True):
+        assert s == pytest.approx(1 / (1 + exp(-(sum(float(got[i]) * v for i, v in zip(place.tolist(), value.tolist(), strict=True)) + float(got[bias])))), abs=1e-6)
+
+
 def test_network_prefers_what_it_saw():
     texts = ["a b c a b c a b c"] * 50
     b, n = lm_score.buckets(texts)

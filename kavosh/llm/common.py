@@ -16,6 +16,7 @@ U64 = np.uint64
 STEP_CHARS = 1_500_000
 #: Entries that a worker's word or pre-token cache may hold before it is emptied.
 CACHE_ENTRIES = 400_000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,10 +43,19 @@ def free_name(df: DataFrame, base: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read back: cuts the lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a table in the shared folder, read back: cuts the lineage and survives lost executors.
+
+    The shuffle files behind it are of no more use, so they go at once, not when the driver collects its garbage.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def steps(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = STEP_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

@@ -310,6 +310,25 @@ def test_lm_score_tells_repeated_documents_apart(spark):
     assert min(got[i] for i in range(10)) > max(got[i] for i in range(10, 60)) and got[3] == pytest.approx(got[63])
 
 
+def test_lm_score_counts_every_pair_of_neighbours(spark):
+    """Each word of these stands between its neighbours three times, so the two others, or all three, foretell it."""
+    df = spark.createDataFrame([(i, f"left{i} word{i} right{i}") for i in range(60)] * 3, "doc_id long, text string").repartition(3)
+    model = lm_score.fit(df)
+    alone = {r.doc_id: r.mean_logp for r in lm_score.score(df, lm_score.Model(model.classes, model.word, model.window)).collect()}
+    for masked, least in ((True, (2 - 0.75) / 2), (False, (3 - 0.75) / 3)):
+        got = lm_score.score(df, model, masked=masked).collect()
+        assert len(got) == 180 and min(r.mean_logp for r in got) >= np.log(least) > min(alone.values())
+
+
+def test_words_of_chunks_are_those_of_split():
+    texts = ["Aé\x1cb  İ\u3000ς\x85", "", " \n", "aé B aé", "\U0001f600 \x0b!"]
+    values, of, sizes = lm_score.split(texts)
+    want = [t.lower().split() for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and len(values) == len({w for t in want for w in t})
+    flat = [w for t in want for w in t]
+    assert [flat.index(w) for w in flat] == [of.tolist().index(i) for i in of.tolist()]
+
+
 def test_token_counts(docs, rows):
     from tokenizers import Tokenizer
 

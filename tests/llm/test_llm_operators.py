@@ -144,6 +144,25 @@ def test_suffix_dedup(docs, rows):
     assert {i: len(k) for i, k in want.items()} == {i: r.n_bytes - r.n_removed for i, r in got.items()}
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from kavosh.llm.common import written
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName() for f in (found.apply(i) for i in range(found.size())) if f.getName().startswith("shuffle_")}
+
+    before, name = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, None)
+    rows = written(spark.range(1000).repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("n")), "sums")
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(name, None) == was
+    assert sorted(r.k for r in rows.collect()) == list(range(7))
+
+
 def test_suffix_dedup_of_periodic_and_overlapping_texts(spark):
     own = random.Random(5)
     texts = {i: "".join(own.choice(["a", "ab", "xyzé", "quick brown fox and "]) * own.randint(1, 40) for _ in range(own.randint(0, 9))) for i in range(50)}

@@ -305,3 +305,22 @@ def test_crc_of_ids_is_over_four_bytes_each():
     ids = np.array([1, 2, 49407])
     [block] = id_coder.compress([ids], 49408)
     assert id_coder.HEAD.unpack_from(block)[4] == zlib.crc32(ids.astype("<u4").tobytes())
+
+
+def test_word_ids_of_odd_words_are_the_library():
+    """Special strings in other case, words of letters beside marks, apostrophes, joined accents and wide spaces."""
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    odd = ["<|ENDOFTEXT|>", "x <|StartOfText|> y", "a<|endoftext|>b", "Été, ÀÉÞ! Straße. x%%% DON'T O'Neill's 'tis ab.cd (918) ...A", "×a÷ a×b Ã× \xc3\x97", "Éa é, É́", "a\x1cb  c d　e\x85f", "", " \n\t", "İI ſ K ſs", "%a %%a% a%b%", "ÿŸ Āā ж, Ж."]
+    ids, counts = id_files.encode_texts(odd, path, 2)
+    want = [[*library.encode(t, add_special_tokens=False).ids, 2] for t in odd]
+    assert ids.tolist() == [x for w in want for x in w] and counts.tolist() == [len(w) for w in want]
+
+
+def test_rounds_of_blocks_are_even():
+    """A few blocks more than the lanes don't make a round of their own, which takes nearly as long as a full one."""
+    for n, lanes, want in ((1037, 1024, [1037]), (2400, 1024, [800, 800, 800]), (7, 8, [7]), (0, 8, [])):
+        assert [len(r) for r in id_files._rounds(list(range(n)), lanes)] == want
+        assert [b for r in id_files._rounds(list(range(n)), lanes) for b in r] == list(range(n))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kavosh.sources.shared import written
+
 K1, B = 1.2, 0.75
 
 
@@ -14,8 +18,13 @@ def postings(docs: DataFrame, doc_id: str, terms: Column) -> DataFrame:
     return rows.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("n_terms").alias("n_terms"))
 
 
+def _copies(index: DataFrame) -> Column:
+    """How many documents a row of the index stands for: its column of that name, or one."""
+    return F.col("copies") if "copies" in index.columns else F.lit(1)
+
+
 def document_frequency(index: DataFrame) -> DataFrame:
-    return index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return index.groupBy("term").agg(F.sum(_copies(index)).alias("df"))
 
 
 def vocabulary(docs: DataFrame, terms: Column, least: int = 3) -> DataFrame:
@@ -24,7 +33,9 @@ def vocabulary(docs: DataFrame, terms: Column, least: int = 3) -> DataFrame:
 
 
 def _queries(queries: DataFrame) -> DataFrame:
-    """query_id, term, n_wanted of queries(query_id, terms array)."""
+    """query_id, term, n_wanted of queries(query_id, terms array), or of ones that have them already."""
+    if "n_wanted" in queries.columns:
+        return queries
     wanted = F.array_distinct("terms")
     return queries.select("query_id", F.size(wanted).alias("n_wanted"), F.explode(wanted).alias("term"))
 
@@ -37,11 +48,11 @@ def match_all(index: DataFrame, queries: DataFrame) -> DataFrame:
 
 def match_any(index: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """query_id, doc_id, BM25 score of the documents that hold any term."""
-    lengths = index.groupBy("doc_id").agg(F.first("n_terms").alias("n_terms"))
+    lengths = index.groupBy("doc_id").agg(F.first("n_terms").alias("n_terms"), F.first(_copies(index)).cast("long").alias("copies"))
     # One row; the statistics of the whole collection.
-    whole = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("n_terms").alias("mean"))
+    whole = lengths.agg(F.sum("copies").alias("docs"), (F.sum(F.col("n_terms") * F.col("copies")) / F.sum("copies")).alias("mean"))
     weights = _queries(queries).join(document_frequency(index), "term")
-    hits = weights.join(index, "term").join(F.broadcast(whole))
+    hits = weights.join(index.drop("copies"), "term").join(F.broadcast(whole))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_terms") / F.col("mean")))
     return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
@@ -94,21 +105,62 @@ PROFILES = {
 }
 
 
-def search(index: DataFrame, queries: DataFrame, profile: str = "any-word", k: int = 10, title: DataFrame | None = None) -> DataFrame:
+def _class_of(bag: str) -> Column:
+    """128 bits of a digest, which are taken for equality."""
+    return F.substring(F.sha2(F.to_json(bag), 256), 1, 32)
+
+
+def query_classes(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(wanted, asked): queries that want the same terms are one class. wanted: query_id (the class), term, n_wanted; asked: class, query_id."""
+    bags = _queries(queries).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "n_wanted"))).alias("bag"))
+    bags = written(bags.select("query_id", "bag", _class_of("bag").alias("class")), "queries")
+    wanted = bags.groupBy("class").agg(F.first("bag").alias("bag")).select(F.col("class").alias("query_id"), F.inline("bag"))
+    return written(wanted, "wanted"), bags.select("class", "query_id")
+
+
+def document_classes(fields: list[DataFrame], k: int) -> tuple[list[DataFrame], DataFrame]:
+    """(fields, members): documents with the same terms in all fields are one class, whose scores are equal for any query.
+
+    fields: the same indexes, with a class for doc_id, and copies, the number of its documents. members: class, doc_id, n of
+    each class's k smallest ids; no other can be among the k best of a query, for ties go to the smaller id.
+    """
+    rows = [f.select("doc_id", F.struct(F.lit(i).alias("field"), "term", "tf", "n_terms").alias("x")) for i, f in enumerate(fields)]
+    bags = reduce(DataFrame.unionByName, rows).groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("bag"))
+    bags = written(bags.select("doc_id", "bag", _class_of("bag").alias("class")), "bags")
+    each = bags.groupBy("class").agg(F.first("bag").alias("bag"), F.count(F.lit(1)).alias("copies"))
+    each = written(each.select(F.col("class").alias("doc_id"), "copies", F.inline("bag")), "classes")
+    first = F.row_number().over(Window.partitionBy("class").orderBy("doc_id"))
+    members = written(bags.select("class", "doc_id", first.alias("n")).where(F.col("n") <= k), "members")
+    return [each.where(F.col("field") == i).drop("field") for i in range(len(fields))], members
+
+
+def search(index: DataFrame, queries: DataFrame, profile: str = "any-word", k: int = 10, title: DataFrame | None = None, digits: int | None = None) -> DataFrame:
     """The k best documents of each query by a profile.
 
     title: an index of the titles beside that of the bodies; a profile's boost multiplies its scores. A sentinel closes
-    every term on both sides, so that an engine that matches prefixes matches whole terms only.
+    every term on both sides, so that an engine that matches prefixes matches whole terms only. digits: scores are rounded
+    so before they are compared.
+
+    Classes of queries meet classes of documents, so copies on either side don't multiply the matches.
     """
     p = PROFILES[profile]
     if mark := p.get("sentinel"):
         closed = F.concat("term", F.lit(mark))
         index, title = index.withColumn("term", closed), title if title is None else title.withColumn("term", closed)
         queries = queries.withColumn("terms", F.transform("terms", lambda t: F.concat(t, F.lit(mark))))
-    hits = p["match"](index, queries)
+    fields, members = document_classes([index] if title is None else [index, title], k)
+    wanted, asked = query_classes(queries)
+    hits = p["match"](fields[0], wanted)
     if title is not None:
-        hits = boosted(p["match"](title, queries), hits, p.get("boost", 1.0))
-    return top(hits, k)
+        hits = boosted(p["match"](fields[1], wanted), hits, p.get("boost", 1.0))
+    if digits is not None:
+        hits = hits.withColumn("score", F.round("score", digits))
+    # A class after k others, by its smallest id, has nothing among the k best.
+    least = members.where("n = 1").select("class", F.col("doc_id").alias("least"))
+    scored = hits.withColumnRenamed("doc_id", "class").join(least, "class").withColumnRenamed("least", "doc_id")
+    some = top(scored, k).select("query_id", "class", "score").join(members.drop("n"), "class")
+    best = written(top(some.select("query_id", "doc_id", "score"), k), "best")
+    return asked.join(best.withColumnRenamed("query_id", "class"), "class").drop("class")
 
 
 def covered(docs: DataFrame, queries: DataFrame, terms: str = "terms") -> DataFrame:

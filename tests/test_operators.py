@@ -231,3 +231,23 @@ def test_the_entry_lists_every_query():
     import __spark_entry__ as e
 
     assert set(SQL) <= set(e.oracle_sql()) <= set(e.queries()) and set(QUERIES) <= set(e.queries())
+
+
+@pytest.mark.parametrize("profile", ["strict"])
+def test_copies_do_not_multiply_the_matches(spark, monkeypatch, profile):
+    """The matches are of classes of queries and documents; the best are those of all queries and documents."""
+    names = ["red big house", "red house", "big blue boat", "red red house"]
+    index = search.postings(spark.createDataFrame([(i, names[i % 4]) for i in range(90)], "id long, text string"), "id", F.split("text", " "))
+    queries = spark.createDataFrame([(i, names[i % 3].split()[:2]) for i in range(60)], "query_id long, terms array<string>")
+    match, met = search.PROFILES[profile]["match"], []
+
+    def spied(*args):
+        met.append(match(*args).count())
+        return match(*args)
+
+    exact = lambda df: sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 6)) for r in df.collect())
+    wanted = exact(search.top(match(index, queries).withColumn("score", F.round("score", 6)), 7))
+    monkeypatch.setitem(search.PROFILES, profile, search.PROFILES[profile] | {"match": spied})
+    found = search.search(index, queries, profile, 7)
+    assert exact(found) == wanted and len(wanted) > 60 and found.columns == ["query_id", "doc_id", "score", "rank"]
+    assert met[0] <= 3 * 4

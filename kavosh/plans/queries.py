@@ -105,8 +105,7 @@ def and_search_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_INDEX}, df AS (SELECT term, count(*) AS df FROM post GROUP BY term), d AS (SELECT count(*) AS docs, avg(n_terms) AS mean FROM (SELECT doc_id, any_value(n_terms) AS n_terms FROM post GROUP BY doc_id)),
 hits AS (SELECT query_id, doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_terms / mean))), 6) AS score FROM wanted JOIN df USING (term) JOIN post USING (term) CROSS JOIN d GROUP BY query_id, doc_id) {_TOP}""")
 def or_bm25_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.match_any(_part_index(spark, sf_dir), _part_queries(spark, sf_dir))
-    return search.top(hits.withColumn("score", F.round("score", 6)))
+    return search.search(_part_index(spark, sf_dir), _part_queries(spark, sf_dir), "any-word", digits=6)
 
 
 @query(f"""WITH {_INDEX}, short AS (SELECT DISTINCT query_id, left(term, 3) AS prefix FROM wanted), n AS (SELECT query_id, count(*) AS n FROM short GROUP BY query_id),

@@ -233,7 +233,7 @@ def test_the_entry_lists_every_query():
     assert set(SQL) <= set(e.oracle_sql()) <= set(e.queries()) and set(QUERIES) <= set(e.queries())
 
 
-@pytest.mark.parametrize("profile", ["strict", "any-word"])
+@pytest.mark.parametrize("profile", ["strict", "any-word", "static-site"])
 def test_copies_do_not_multiply_the_matches(spark, monkeypatch, profile):
     """The matches are of classes of queries and documents; the best are those of all queries and documents."""
     names = ["red big house", "red house", "big blue boat", "red red house"]

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from .tokens import tokens_of
+
 # Elements left out of an index, that stand alone, and that don't break a word; weights of headings; marks.
 SKIPPED = frozenset("head style script noscript label form svg footer nav iframe template title textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -239,7 +241,22 @@ def excerpt_of(text: str, spans: list[tuple[int, int]], hits: list[bool], size:
     return "".join(out)
 
 
-@pandas_udf(T.StringType())
-def excerpt(text: pd.Series, words: pd.Series, hits: pd.Series) -> pd.Series:
-    """excerpt_of a text, its words (array of structs with start and end) and whether each is a hit. Linear in the words."""
-    return pd.Series([None if t is None or w is None else excerpt_of(t, [(x["start"], x["end"]) for x in w], list(h)) for t, w, h in zip(text, words, hits, strict=True)], dtype=object)
+def excerpts(hit: str, size: int = 30):
+    """excerpt_of a text Column, whose hits are the words that the pattern matches in full.
+
+    A text's words stay inside the kernel, one text at a time: as a column they take many times the text's memory.
+    """
+
+    @pandas_udf(T.StringType())
+    def run(text: pd.Series) -> pd.Series:
+        is_hit = re.compile(hit).fullmatch
+
+        def one(t: str | None) -> str | None:
+            if t is None:
+                return None
+            words = tokens_of(t)
+            return excerpt_of(t, [w[1:] for w in words], [is_hit(w[0]) is not None for w in words], size)
+
+        return pd.Series([one(t) for t in text], dtype=object)
+
+    return run

@@ -13,6 +13,8 @@ from . import alphabet as A
 
 _SOFT = "\u200c\u200b"
 _RUN = re.compile(f"({A.ARABIC})\\1{{2,}}")
+_ONE_TO_ONE = {hamza: str.maketrans(A.FOLDS | (A.HAMZA_YEH if hamza else {}) | A.DIGITS | A.LOWER) for hamza in (False, True)}
+_SHIFTS = re.compile("[" + "".join(map(chr, A.REMOVED)) + "".join(A.PRESENTATION) + "İ\u200c\u200b\u00ac]")
 
 
 def presentation_forms(text: Column) -> Column:
@@ -80,6 +82,14 @@ def strip_marks(text: pd.Series) -> pd.Series:
     return out
 
 
+def in_place(text: str, hamza_yeh: bool = True) -> str | None:
+    """The normalised text, where each of its characters stays at its place; None where one moves."""
+    if text.isascii():
+        return text.lower()
+    out = None if _SHIFTS.search(text) else text.translate(_ONE_TO_ONE[hamza_yeh])
+    return None if out is None or _RUN.search(out) else out
+
+
 def with_offsets(text: str, hamza_yeh: bool = True) -> tuple[str, list[tuple[int, int]]]:
     """The normalised text, and for each of its characters the span of code points that it came from.
 

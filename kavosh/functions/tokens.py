@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from . import alphabet as A
-from .normalize import normalize, with_offsets
+from .normalize import in_place, normalize, with_offsets
 
 # Prefixes and suffixes that belong to their neighbour.
 PREFIXES = ("می", "نمی")
@@ -67,6 +67,9 @@ def tokens(text: Column, hamza_yeh: bool = True, rejoin: bool = True) -> Column:
 
 def tokens_of(text: str, hamza_yeh: bool = True, rejoin: bool = True) -> list[tuple[str, int, int]]:
     """(token, start, end) with code-point offsets into the original text."""
+    n = in_place(text, hamza_yeh)
+    if n is not None and not (rejoin and _ARABIC.search(n)):
+        return [(m[0], *m.span()) for m in _WORD.finditer(n)]
     n, spans = with_offsets(text, hamza_yeh)
     found = [m.span() for m in _WORD.finditer(n)]
     # Which words go to the one before them. A prefix that itself went to one takes nothing.

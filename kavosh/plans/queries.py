@@ -371,9 +371,7 @@ def typo_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best 30 words of each document for the words of three letters that start with 'th'."""
-    docs = _read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", "text", tokens.tokens_with_offsets("text").alias("words"))
-    hits = F.transform("words", lambda w: w["text"].rlike("^th[a-z]$"))
-    return docs.select("doc_id", html.excerpt("text", "words", hits).alias("excerpt"))
+    return _read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", html.excerpts("th[a-z]")("text").alias("excerpt"))
 
 
 @query("SELECT count(*) AS n, count(DISTINCT o_orderkey) AS keys FROM orders")

@@ -185,3 +185,18 @@ def test_attested_variants(spark):
     assert got("zwnj-add", 5) == {(3, f"کتاب{ZWNJ}ها")} and got("clitic-add", 5) == {(2, "کتابش خوب")} and got("clitic-add", 8) == set()
     digit = spark.createDataFrame([("a1۲",), ("۱۲",), ("١",), ("x",)], "t string").select(variants.digits(F.col("t")))
     assert [r[0] for r in digit.collect()] == ["a۱۲", "12", "1", None]
+
+
+def test_excerpts_keep_the_words_inside(spark):
+    """A text's words are no column between two kernels, where they took ten times the text's memory."""
+    from kavosh.plans.queries import QUERIES
+
+    plan = QUERIES["excerpts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "rlike" not in plan
+    df = spark.createDataFrame([("Tha, <b> the THEN",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(html.excerpts("th[a-z]", 3)("t")).collect()] == ["<mark>Tha</mark>, &lt;b&gt; <mark>the</mark>", "", None]
+    for t in ("aÉ 1۲ Ωb", "می روم", "a‌b", "İb", "ککک", "xًy"):
+        n, spans = normalize.with_offsets(t)
+        got = normalize.in_place(t)
+        assert got is None or (got == n and spans == [(i, i + 1) for i in range(len(t))])
+    assert normalize.in_place("aÉ 1۲ Ωb") == "aé 12 ωb"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from html import escape
 from html.parser import HTMLParser
 
@@ -134,9 +135,16 @@ REGIONS = T.StructType([
 ])
 
 
+#: Pages whose regions a worker holds at once.
+PAGES = 250
+
+
 @pandas_udf(REGIONS)
-def regions(page: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([regions_of(p or "") for p in page], columns=["title", "has_body", "own_title", "regions"])
+def regions(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """regions_of each page; a batch goes on in slices, so its regions are never all in memory."""
+    for pages in batches:
+        for at in range(0, len(pages), PAGES):
+            yield pd.DataFrame([regions_of(p or "") for p in pages.iloc[at : at + PAGES]], columns=["title", "has_body", "own_title", "regions"])
 
 
 def unescape_text(text: str) -> str:

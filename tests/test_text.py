@@ -200,3 +200,11 @@ def test_excerpts_keep_the_words_inside(spark):
         got = normalize.in_place(t)
         assert got is None or (got == n and spans == [(i, i + 1) for i in range(len(t))])
     assert normalize.in_place("aÉ 1۲ Ωb") == "aé 12 ωb"
+
+
+def test_html_regions_go_on_in_slices():
+    import pandas as pd
+
+    pages = pd.Series([PAGE, None] * 300)
+    got = list(html.regions.func(iter([pages, pages[:0]])))
+    assert [len(g) for g in got] == [250, 250, 100] and pd.concat(got)["title"].tolist() == ["Head one", ""] * 300

@@ -125,11 +125,16 @@ def typo(kind: str):
 
     @pandas_udf("string")
     def run(text: pd.Series, seed: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else change(t, str(s)) for t, s in zip(text, seed, strict=True)])
+        return pd.Series([None if t is None else change(t, str(s)) for t, s in zip(text, seed, strict=True)], dtype=object)
 
     return run
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Small rows that cost much work each, dealt to all of the shuffle's partitions by a key: their file may be one split."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def prefixed(prefix: str, stem: Column) -> Column:
     """A stem after ب or ن: an initial آ is written یا, an initial ا is written ی."""
     rest = F.regexp_replace(stem, "^.", "")

@@ -365,7 +365,8 @@ def query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def typo_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = bridge(F.col("p_name"))
     kinds = ("adjacent", "delete", "transpose", "uniform", "homophone")
-    return _read(spark, sf_dir, "part", "p_partkey", "p_name").select("p_partkey", *(variants.typo(k)(text, F.col("p_partkey").cast("string")).alias(k) for k in kinds))
+    parts = variants.spread(_read(spark, sf_dir, "part", "p_partkey", "p_name"), "p_partkey")
+    return parts.select("p_partkey", *(variants.typo(k)(text, F.col("p_partkey").cast("string")).alias(k) for k in kinds))
 
 
 @query()

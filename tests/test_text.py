@@ -208,3 +208,10 @@ def test_html_regions_go_on_in_slices():
     pages = pd.Series([PAGE, None] * 300)
     got = list(html.regions.func(iter([pages, pages[:0]])))
     assert [len(g) for g in got] == [250, 250, 100] and pd.concat(got)["title"].tolist() == ["Head one", ""] * 300
+
+
+def test_typos_of_one_file_are_dealt_out(spark):
+    from kavosh.plans.queries import QUERIES
+
+    got = QUERIES["typo_variants"](spark, "/root/testdata/sf0.001")
+    assert got.rdd.getNumPartitions() == 4 and len({r.p_partkey for r in got.collect()}) == got.count()

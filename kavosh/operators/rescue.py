@@ -110,9 +110,12 @@ def check(queries: DataFrame, known: DataFrame, words: DataFrame, analyzer: Anal
        least ten times as common, the one with the largest ratio (the first of equals).
     Fixes are spliced into the query as typed. auto: search the fixed query instead (nothing was found, or all fixes are of
     the keyboard); else it is a suggestion. pieces: the parts of the word list that were looked at, in order.
+    A query that was typed often is mended once for each number of results.
     """
     analyzer = analyzer or Analyzer()
-    base = queries.select("query_id", "query", "found")
+    typed_as = F.substring(F.sha2(F.to_json(F.struct("query", "found")), 256), 1, 32)
+    asked = written(queries.select("query_id", "query", "found", typed_as.alias("class")), "asked")
+    base = written(asked.groupBy(F.col("class").alias("query_id")).agg(F.first("query").alias("query"), F.first("found").alias("found")), "base")
     spans = written(base.select("query_id", F.explode(tokens_with_offsets("query")).alias("t")).select("query_id", "t.text", "t.start", "t.end"), "spans")
     good = known_words(spans.select(F.col("text").alias("word")), known, analyzer).select("word", F.lit(True).alias("good"))
     spans = written(spans.join(good, F.col("text") == F.col("word"), "left").select("query_id", "text", "start", "end", F.coalesce("good", F.lit(False)).alias("good")), "spans")
@@ -149,7 +152,8 @@ def check(queries: DataFrame, known: DataFrame, words: DataFrame, analyzer: Anal
     parts = F.transform("edits", lambda e, i: F.concat(F.substring(F.col("query"), F.element_at(ends, i + 1) + 1, e["start"] - F.element_at(ends, i + 1)), e["text"]))
     fixed = F.concat(F.array_join(parts, ""), F.substring(F.col("query"), F.element_at(ends, -1) + 1, F.length("query")))
     made = weak.join(lists, "query_id").join(looked, "query_id", "left")
-    return made.select("query_id", "query", fixed.alias("fixed"), ((F.col("found") == 0) | F.col("typed")).alias("auto"), F.coalesce("pieces", F.array().cast("array<string>")).alias("pieces"))
+    each = made.select(F.col("query_id").alias("class"), fixed.alias("fixed"), ((F.col("found") == 0) | F.col("typed")).alias("auto"), F.coalesce("pieces", F.array().cast("array<string>")).alias("pieces"))
+    return asked.join(written(each, "mended"), "class").select("query_id", "query", "fixed", "auto", "pieces")
 
 
 def pieces_of(key: Column) -> Column:

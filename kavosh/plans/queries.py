@@ -154,7 +154,7 @@ def spelling_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def query_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part name typed on the wrong layout, mended by the words of all part names."""
-    names = _read(spark, sf_dir, "part", "p_partkey", "p_name")
+    names = variants.spread(_read(spark, sf_dir, "part", "p_partkey", "p_name"), "p_partkey")
     typed = names.select(F.col("p_partkey").alias("query_id"), F.lower("p_name").alias("query"), F.lit(0).alias("found"))
     words = rescue.word_list(names, tokens.words(bridge(F.col("p_name"))))
     return rescue.check(typed, rescue.index_terms(names, bridge(F.col("p_name"))), words)

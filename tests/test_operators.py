@@ -251,3 +251,16 @@ def test_copies_do_not_multiply_the_matches(spark, monkeypatch, profile):
     found = search.search(index, queries, profile, 7)
     assert exact(found) == wanted and len(wanted) > 60 and found.columns == ["query_id", "doc_id", "score", "rank"]
     assert met[0] <= 3 * 4
+
+
+def test_a_query_typed_often_is_mended_once(spark, monkeypatch):
+    site, sizes, write = _site(spark, "سلام دنیا"), {}, rescue.written
+
+    def spied(df, name):
+        out = write(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(rescue, "written", spied)
+    assert _fixes(spark, site, *[("sghl", 0)] * 20, ("sghl", 3), (None, 0)) == [("سلام", True)] * 21 + [None]
+    assert sizes["spans"] == sizes["runs"] == 2
